@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lorequery.llm import bpe, langid, license_scan, packing, quality, secret_scan, simhash, topk, toxicity
+from lorequery.llm import bpe, langid, license_scan, packing, quality, secret_scan, simhash, topk, toxicity, wrapper_html
 from lorequery.llm.common import held_out, table
 
 
@@ -33,6 +33,10 @@ def op5_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark, sf_dir):
+    return wrapper_html.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_license_scan(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_bpe_roundtrip(spark, sf_dir):
 
 
 def queries():
-    ops = (op1_exact_top_k, op2_secret_scan, op3_language_id, op4_best_fit_packing, op5_simhash_near_dedup, op7_license_scan, op8_toxicity, op9_quality_rules, op10_bpe_roundtrip)
+    ops = (op1_exact_top_k, op2_secret_scan, op3_language_id, op4_best_fit_packing, op5_simhash_near_dedup, op6_html_extraction, op7_license_scan, op8_toxicity, op9_quality_rules, op10_bpe_roundtrip)
     return {f.__name__: f for f in ops}
 
 
