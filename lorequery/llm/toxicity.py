@@ -25,7 +25,7 @@ DECAY = 0.6
 STEPS = [(a, b) for a in range(1, 5) for b in range(1, 5) if a + b <= 5]
 FEATURES = 1 << 18
 #: Bounds of what the model is fitted on: labelled documents of either kind, their characters, landmarks, negative strings.
-MAX_DOCS, MAX_CHARS, LANDMARKS, NEGATIVES = 3000, 20_000, 192, 16_000
+MAX_DOCS, MAX_CHARS, LANDMARKS, NEGATIVES = 2000, 20_000, 192, 16_000
 #: Strings whose score a task remembers; the longest string read as one (longer ones are read in overlapping parts).
 CACHE, LONGEST = 400_000, 64
 THRESHOLD = 0.7
@@ -118,35 +118,44 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -50, 50))))
 
 
-def _nystroem(landmarks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(landmarks' normalised features, K^-1/2)."""
-    begin, ids, weights, norms = features(landmarks)
-    phi = np.zeros((len(landmarks), FEATURES), dtype=np.float32)
-    owner = np.repeat(np.arange(len(landmarks)), np.diff([*begin, ids.shape[1]]))
-    for k in range(len(STEPS)):
-        np.add.at(phi, (owner, ids[k]), weights[k])
-    phi[:, 0] = 0
-    phi /= norms[:, None]
-    values, vectors = np.linalg.eigh((phi @ phi.T).astype(np.float64))
-    keep = values > 1e-6 * values.max()
-    return phi, (vectors[:, keep] / np.sqrt(values[keep])) @ vectors[:, keep].T
-
-
-def _map(words: list[str], phi: np.ndarray, root: np.ndarray) -> np.ndarray:
-    """Nyström features of strings."""
-    out = []
-    for i in range(0, len(words), 4096):
-        begin, ids, weights, norms = features([w[:LONGEST] for w in words[i : i + 4096]])
-        used, back = np.unique(ids, return_inverse=True)
-        columns, back = np.ascontiguousarray(phi[:, used].T), back.reshape(ids.shape)
-        kernel = sum(weights[k] * np.add.reduceat(columns[back[k]], begin, axis=0) for k in range(len(STEPS)))
-        out.append((kernel / norms[:, None]) @ root)
-    return np.concatenate(out)
+class Landmarks:
+    """Nyström map: the features that the landmarks have, one dense column each, and K^-1/2."""
+
+    def __init__(self, landmarks: list[str]):
+        begin, ids, weights, norms = features(landmarks)
+        self.used = np.unique(np.append(ids, 0))
+        #: Column of each subsequence; column 0 is that of all that no landmark has, and stays empty.
+        self.column = np.zeros(FEATURES, dtype=np.int32)
+        self.column[self.used] = np.arange(len(self.used))
+        self.phi = np.zeros((len(self.used), len(landmarks)), dtype=np.float32)
+        owner = np.repeat(np.arange(len(landmarks)), np.diff([*begin, ids.shape[1]]))
+        for k in range(len(STEPS)):
+            np.add.at(self.phi, (self.column[ids[k]], owner), weights[k])
+        self.phi[0] = 0
+        self.phi /= norms
+        values, vectors = np.linalg.eigh((self.phi.T @ self.phi).astype(np.float64))
+        keep = values > 1e-6 * values.max()
+        self.root = (vectors[:, keep] / np.sqrt(values[keep])) @ vectors[:, keep].T
+
+    def map(self, words: list[str]) -> np.ndarray:
+        """Nyström features of strings."""
+        out = []
+        for i in range(0, len(words), 1024):
+            begin, ids, weights, norms = features([w[:LONGEST] for w in words[i : i + 1024]])
+            kernel = sum(weights[k] * np.add.reduceat(self.phi[self.column[ids[k]]], begin, axis=0) for k in range(len(STEPS)))
+            out.append(((kernel / norms[:, None]) @ self.root).astype(np.float32))
+        return np.concatenate(out)
+
+    def fold(self, w: np.ndarray) -> np.ndarray:
+        """The weight of each subsequence under a linear machine on the map."""
+        table = np.zeros(FEATURES, dtype=np.float32)
+        table[self.used] = self.phi @ (self.root @ w)
+        return table
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, steps: int = 250) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss, by accelerated gradient steps."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
+    x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     cw = c * weight
     size = 1 / (1 + 2 * np.linalg.eigvalsh((x1 * cw[:, None]).T @ x1)[-1])
     w, ahead, t = np.zeros(x1.shape[1]), np.zeros(x1.shape[1]), 1.0
@@ -166,6 +175,11 @@ def _altered(word: str, random: np.random.Generator) -> str:
     return word[:i] + "*-._"[int(random.integers(0, 4))] + word[i:] if kind == 0 else word[:i] + word[i - 1] + word[i:] if kind == 1 else word[:i] + "." + word[i + 1 :]
 
 
+def _bag(text: str) -> set[str]:
+    """The strings of all sentences of a text."""
+    return {_EDGES.sub("", s) for line in re.split(r"\n|(?<=[.!?])\s", text) for s in strings(line)} - {""}
+
+
 def train(texts: list[str], toxic: list[int], seed: int = 0) -> Machine:
     """Fit on labelled documents; without both labels a machine that scores all 0.
 
@@ -178,7 +192,8 @@ def train(texts: list[str], toxic: list[int], seed: int = 0) -> Machine:
     if not any(toxic) or all(toxic):
         return Machine(np.zeros(FEATURES, np.float32), -1.0, 1.0, -50.0 if not any(toxic) else 50.0)
     random = np.random.default_rng(seed)
-    bags = [sorted({_EDGES.sub("", s) for line in re.split(r"\n|(?<=[.!?])\s", t) for s in strings(line)} - {""}) for t in texts]
+    pool: dict[str, str] = {}  # each string once in memory
+    bags = [sorted({pool.setdefault(s, s) for s in _bag(t)}) for t in texts]
     y = np.array(toxic)
     held = np.zeros(len(y), bool)
     held[::5] = True
@@ -193,12 +208,18 @@ def train(texts: list[str], toxic: list[int], seed: int = 0) -> Machine:
     n_bad, n_good = max(1, sum(y[i] for i in own)), max(1, sum(1 - y[i] for i in own))
 
     # strings are also judged by their beginnings, as endings vary
+    heads = lambda s: [s[:k] for k in range(4, min(len(s), 8) + 1)]
     bad_head, good_head = Counter(), Counter()
     for i in own:
-        (bad_head if y[i] else good_head).update({s[:k] for s in bags[i] for k in range(4, min(len(s), 8) + 1)})
+        if y[i]:
+            bad_head.update({h for s in bags[i] for h in heads(s)})
+    bad_head = Counter({h: n for h, n in bad_head.items() if n > 1})
+    for i in own:
+        if not y[i]:
+            good_head.update({h for s in bags[i] for h in heads(s) if h in bad_head})
 
     def odds(s):
-        ways = [(bad[s], good[s])] + [(bad_head[s[:k]], good_head[s[:k]]) for k in range(4, min(len(s), 8) + 1)]
+        ways = [(bad[s], good[s])] + [(bad_head[h], good_head[h]) for h in heads(s) if h in bad_head]
         return max(np.log((b + 0.02) / n_bad) - np.log((g + 0.5) / n_good) + 0.3 * np.log1p(b) for b, g in ways)
 
     score = {s: odds(s) for s in bad}
@@ -208,26 +229,26 @@ def train(texts: list[str], toxic: list[int], seed: int = 0) -> Machine:
     names = sorted({*witness.values(), *shared}, key=lambda s: (-score[s], s))
     frequent = [s for s, _ in sorted(good.items(), key=lambda x: (-x[1], x[0])) if len(s) > 3]
     landmarks = names[: LANDMARKS // 2] + frequent[: LANDMARKS - min(len(names), LANDMARKS // 2)]
-    phi, root = _nystroem(landmarks)
+    landmarks = Landmarks(landmarks)
     negatives = sorted(good)
     if len(negatives) > NEGATIVES:
         near = sorted(negatives, key=lambda s: -odds(s))[: NEGATIVES // 4]
         rest = random.permutation(len(negatives))[: NEGATIVES - len(near)]
         negatives = sorted({*near, *(negatives[i] for i in rest)})
     table, offset, taken = None, 0.0, set(negatives)
-    mapped = _map(negatives, phi, root)
+    mapped = landmarks.map(negatives)
     for _ in range(4):
         positives = sorted({*witness.values(), *shared})
-        positives = [s for s in positives if good[s] <= 0.02 * n_good]
+        positives = [s for s in positives if not good[s] or (bad[s] >= 3 and bad[s] / n_bad > 10 * good[s] / n_good)]
         more = [_altered(s, random) for s in positives for _ in range(2) if len(s) > 3]
         wrong = [_altered(s, random) for s in (negatives[i] for i in random.permutation(len(negatives))[: 2 * len(more)]) if len(s) > 3]
-        x = np.concatenate([mapped, _map(wrong, phi, root), _map(positives + more, phi, root)]) if wrong and positives else mapped
+        x = np.concatenate([mapped, landmarks.map(wrong), landmarks.map(positives + more)]) if wrong and positives else mapped
         if len(x) == len(mapped):
             break
         label = np.r_[-np.ones(len(mapped) + len(wrong)), np.ones(len(positives) + len(more))]
         weight = np.where(label > 0, 0.5 * len(label) / max(1, (label > 0).sum()), 0.5 * len(label) / max(1, (label < 0).sum())) / len(label) * 100
         w, offset = _svm(x, label, weight)
-        table = ((root @ w) @ phi).astype(np.float32)
+        table = landmarks.fold(w)
         machine = Machine(table, offset, 1.0, 0.0)
         # the clean strings that it takes for insults join the negatives
         clean = [s for s in good if s not in positives]
@@ -236,7 +257,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 0) -> Machine:
         hard = [s for s in hard if s not in taken]
         if hard:
             taken.update(hard)
-            mapped = np.concatenate([mapped, _map(hard, phi, root)])
+            mapped = np.concatenate([mapped, landmarks.map(hard)])
         value = dict(zip(bad, machine.margins(list(bad))))
         witness = {i: max(bags[i], key=lambda s: (value[s], s)) for i in witness}
     if table is None:
