@@ -1,9 +1,591 @@
-"""The query catalogue of the retrieval operators, each with its SQL."""
+"""The query catalogue of the retrieval operators, each with its SQL where SQL can express it."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from lorequery.functions import match as M
+from lorequery.functions import text as T
+from lorequery.functions import understand as U
+from lorequery.functions.lexicon import BLACKLIST, COMPLEXITY, SELECTION_MODELS, SKIP_WORDS, STOPWORDS, SYNTHESIS_MODELS
+from lorequery.operators import assemble, content, html, models, rank, retrieve
+from lorequery.plans import ask as A
+from lorequery.plans import fixtures as X
+from lorequery.sources import corpus
+
+_Q: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _Q[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries():
-    return {}
+    return dict(_Q)
 
 
 def oracle_sql():
-    return {}
+    return dict(_SQL)
+
+
+# --- SQL building blocks ------------------------------------------------------
+
+
+def _norm(x: str) -> str:
+    return f"array_to_string(regexp_extract_all(lower({x}), '[a-z0-9]+'), ' ')"
+
+
+def _in(words: list[str]) -> str:
+    return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
+
+
+_PAGE = "SELECT page_id AS article_id, regexp_extract(html, '<title>((?s:.*?))</title>', 1) AS title, url FROM pages"
+_PLAIN = "SELECT doc_id AS article_id, split_part(split_part(text, chr(10), 1), '.', 1) AS title FROM documents"
+_BENCH = "SELECT item_id AS q_id, split_part(text, '.', 1) AS question FROM benchmark"
+
+
+def _score_sql(q: str) -> str:
+    parts = ["CASE WHEN " + " OR ".join(f"contains(lower({q}), '{p}')" for p in ps) + f" THEN {w} ELSE 0 END" for w, ps in COMPLEXITY]
+    return " + ".join(parts) + f" + CASE WHEN len(list_filter(regexp_split_to_array({q}, '\\s+'), lambda w: w <> '')) > 12 THEN 1 ELSE 0 END"
+
+
+def _depth_sql(q: str) -> str:
+    return f"(CASE WHEN {_score_sql(q)} >= 6 THEN 6 WHEN {_score_sql(q)} >= 4 THEN 5 WHEN {_score_sql(q)} >= 2 THEN 4 ELSE 3 END)"
+
+
+def _pages(spark, d):
+    return corpus.page_articles(corpus.table(spark, d, "pages"))
+
+
+def _plain(spark, d):
+    return corpus.plain_articles(corpus.table(spark, d, "documents"))
+
+
+def _bench(spark, d):
+    return corpus.benchmark_questions(corpus.table(spark, d, "benchmark"))
+
+
+def _questions(spark):
+    return X.frame(spark, X.QUESTIONS, "q_id int, question string")
+
+
+def _titles(spark):
+    return X.frame(spark, X.TITLES, "title_id int, title string")
+
+
+# --- scalar text functions ----------------------------------------------------
+
+
+@query(f"SELECT article_id, {_norm('title')} AS name FROM ({_PAGE})")
+def normalize_titles(spark, d):
+    return _pages(spark, d).select("article_id", T.normalize(F.col("title")).alias("name"))
+
+
+@query(
+    "SELECT q_id, pos::INT AS pos, trim(w, '?.,!:;''\"') AS word FROM (SELECT q_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS pos FROM "
+    f"(SELECT q_id, list_filter(regexp_split_to_array(translate(question, '?,.', ''), '\\s+'), lambda w: w <> '') AS ws FROM ({_BENCH})))"
+)
+def word_split_clean(spark, d):
+    rows = _bench(spark, d).select("q_id", F.posexplode(T.words(T.drop_marks(F.col("question")))).alias("pos", "word"))
+    return rows.select("q_id", "pos", T.strip_edges(F.col("word")).alias("word"))
+
+
+_WORDS_EN = "SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')) AS w FROM documents WHERE lang = 'en'"
+
+
+@query(f"SELECT doc_id, count(*) AS n, count(DISTINCT w) AS n_distinct FROM ({_WORDS_EN}) WHERE regexp_matches(w, '^\\p{{Lu}}') GROUP BY doc_id")
+def capitalised_words(spark, d):
+    words = corpus.table(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.explode(T.words(F.col("text"))).alias("w"))
+    return words.filter(T.is_capitalised(F.col("w"))).groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("w").alias("n_distinct"))
+
+
+@query(
+    f"SELECT w AS word, count(*) AS n FROM ({_WORDS_EN}) WHERE regexp_matches(w, '\\p{{Lu}}') AND NOT regexp_matches(w, '[\\p{{Ll}}\\p{{Lt}}]') "
+    "AND length(w) BETWEEN 2 AND 5 GROUP BY w"
+)
+def acronym_words(spark, d):
+    words = corpus.table(spark, d, "documents").filter("lang = 'en'").select(F.explode(T.words(F.col("text"))).alias("word"))
+    return words.filter(T.is_acronym(F.col("word"))).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT id, regexp_replace(regexp_replace(t, '\\[\\d+\\]', '', 'g'), '\\s+', ' ', 'g') AS text FROM {X.sql(X.CITED, 'id, t')}")
+def strip_citations_ws(spark, d):
+    return X.frame(spark, X.CITED, "id int, t string").select("id", T.collapse_space(T.strip_citations(F.col("t"))).alias("text"))
+
+
+@query(
+    "SELECT q_id, regexp_replace(regexp_replace(answer, '(?is)\\n\\s*\\[?(References?|Sources?|Bibliography)\\]?[:\\-]?\\s*(\\n.*)?$', ''), '\\s+$', '') AS answer "
+    f"FROM {X.sql(X.ANSWERS, 'q_id, answer')}"
+)
+def trailing_refs_strip(spark, d):
+    return X.frame(spark, X.ANSWERS, "q_id int, answer string").select("q_id", T.strip_references(F.col("answer")).alias("answer"))
+
+
+@query(
+    "SELECT title_id, regexp_matches(title, '\\b(19|20)\\d{2}\\b') AS has_year, lower(title) LIKE 'list of%' OR lower(title) LIKE 'lists of%' AS is_list, "
+    "contains(lower(title), 'disambiguation') AS is_disambiguation, contains(lower(title), 'index of') AS is_index, "
+    "contains(lower(title), ' (tv series)') OR contains(lower(title), ' (film)') OR contains(lower(title), ' (tv show)') OR contains(lower(title), ' (television)') AS is_media, "
+    f"replace(title, ' ', '_') AS slug, regexp_replace(title, '[^a-zA-Z]', '_', 'g') AS file_name FROM {X.sql(X.TITLES, 'title_id, title')}"
+)
+def title_kinds(spark, d):
+    t = F.col("title")
+    return _titles(spark).select(
+        "title_id", T.has_year(t).alias("has_year"), T.is_list_page(t).alias("is_list"), T.is_disambiguation(t).alias("is_disambiguation"), T.is_index(t).alias("is_index"),
+        T.is_media(t).alias("is_media"), T.slug(t).alias("slug"), T.file_name(t).alias("file_name"),
+    )
+
+
+@query("SELECT doc_id, substring(text, 1, 500) AS head, CASE WHEN length(text) > 200 THEN substring(text, 1, 200) || '...' ELSE text END AS preview FROM documents")
+def truncate_preview(spark, d):
+    return corpus.table(spark, d, "documents").select("doc_id", T.truncate(F.col("text")).alias("head"), T.preview(F.col("text")).alias("preview"))
+
+
+@query(
+    f"SELECT q_id, pos::INT AS pos, TRY_CAST(x AS INTEGER) AS number FROM (SELECT q_id, unnest(xs) AS x, generate_subscripts(xs, 1) - 1 AS pos FROM "
+    f"(SELECT q_id, regexp_extract_all(answer, '\\d+') AS xs FROM {X.sql(X.ANSWERS, 'q_id, answer')}))"
+)
+def extract_integers(spark, d):
+    return X.frame(spark, X.ANSWERS, "q_id int, answer string").select("q_id", F.posexplode(T.integers(F.col("answer"))).alias("pos", "number"))
+
+
+# --- understanding ------------------------------------------------------------
+
+
+def _golden(of: dict, name: str) -> str:
+    return f"SELECT q_id, pos, {name} FROM {X.sql(X.listed(of), f'q_id, pos, {name}')}"
+
+
+@query(
+    "SELECT q_id, pos::INT AS pos, term FROM (SELECT q_id, unnest(xs) AS term, generate_subscripts(xs, 1) - 1 AS pos FROM (SELECT q_id, "
+    "list_filter(list_transform(regexp_extract_all(question, '[\"'']([^\"'']+)[\"'']', 1), lambda x: trim(x)), lambda x: length(x) > 2) AS xs "
+    f"FROM {X.sql(X.QUESTIONS, 'q_id, question')}))"
+)
+def quoted_terms(spark, d):
+    return _questions(spark).select("q_id", F.posexplode(U.quoted_terms(F.col("question"))).alias("pos", "term"))
+
+
+@query(
+    f"""WITH w AS (SELECT q_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT q_id, list_filter(regexp_split_to_array(translate(question, '?,.', ''), '\\s+'), lambda w: w <> '') AS ws FROM ({_BENCH}))),
+c AS (SELECT *, regexp_matches(w, '^\\p{{Lu}}') AS cap FROM w),
+r AS (SELECT *, i - row_number() OVER (PARTITION BY q_id ORDER BY i) AS run FROM c WHERE cap),
+k AS (SELECT *, sum(CASE WHEN lower(w) IN {_in(STOPWORDS)} THEN 0 ELSE 1 END) OVER (PARTITION BY q_id, run ORDER BY i) AS begun FROM r)
+SELECT q_id, (row_number() OVER (PARTITION BY q_id ORDER BY first) - 1)::INT AS pos, phrase FROM
+(SELECT q_id, run, min(i) AS first, string_agg(w, ' ' ORDER BY i) AS phrase FROM k WHERE begun > 0 GROUP BY q_id, run)"""
+)
+def proper_noun_runs(spark, d):
+    return _bench(spark, d).select("q_id", F.posexplode(U.proper_nouns(F.col("question"))).alias("pos", "phrase"))
+
+
+@query(
+    "SELECT q_id, (row_number() OVER (PARTITION BY q_id ORDER BY i) - 1)::INT AS pos, trim(w, '?.,!:;''\"') AS word FROM "
+    "(SELECT q_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM "
+    f"(SELECT q_id, list_filter(regexp_split_to_array(translate(lower(question), '?,.', ''), '\\s+'), lambda w: w <> '') AS ws FROM ({_BENCH}))) "
+    f"WHERE length(w) > 3 AND trim(w, '?.,!:;''\"') NOT IN {_in(STOPWORDS)}"
+)
+def content_words(spark, d):
+    return _bench(spark, d).select("q_id", F.posexplode(U.content_words(F.col("question"))).alias("pos", "word"))
+
+
+@query(_golden(X.TERMS, "term"))
+def search_terms(spark, d):
+    return _questions(spark).select("q_id", F.posexplode(U.search_terms(F.col("question"))).alias("pos", "term"))
+
+
+@query(_golden(X.KEYWORDS, "keyword"))
+def primary_keywords(spark, d):
+    return _questions(spark).select("q_id", F.posexplode(U.primary_keywords(F.col("question"))).alias("pos", "keyword"))
+
+
+@query(_golden(X.PHRASES, "phrase"))
+def focus_phrases(spark, d):
+    return _questions(spark).select("q_id", F.posexplode(U.focus_phrases(F.col("question"))).alias("pos", "phrase"))
+
+
+@query(f"SELECT q_id, depth FROM {X.sql(list(X.DEPTH.items()), 'q_id, depth')}")
+def question_depth(spark, d):
+    return _questions(spark).select("q_id", U.depth(F.col("question")).alias("depth"))
+
+
+@query()
+def understand_benchmark(spark, d):
+    return U.understand(_bench(spark, d))
+
+
+@query(f"SELECT depth::INT AS depth, count(*) AS n FROM (SELECT {_depth_sql('text')} AS depth FROM conversations WHERE role = 'user') GROUP BY depth")
+def complexity_histogram(spark, d):
+    turns = corpus.user_turns(corpus.table(spark, d, "conversations"))
+    return turns.groupBy(U.depth(F.col("question")).alias("depth")).agg(F.count("*").alias("n"))
+
+
+# --- matching -----------------------------------------------------------------
+
+_KW = f"SELECT q_id, list_filter(list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+')), lambda w: length(w) >= 3 AND w NOT IN {_in(BLACKLIST)}) AS kws FROM ({_BENCH})"
+
+
+def _simple_keywords(spark, d):
+    words = F.array_distinct(T.norm_tokens(F.col("question")))
+    return _bench(spark, d).select("q_id", F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(BLACKLIST)).alias("keywords"))
+
+
+def _trigram_pairs(keyed, articles):
+    """(q_id, keywords, article_id, title): pairs that share a keyword inside the title, met on keyword trigrams.
+
+    Titles and keywords join on the first three characters of a keyword; every
+    substring match has them in its title. Keywords of the queries here have three
+    characters or more.
+    """
+    grams = articles.withColumn("name", T.normalize(F.col("title"))).filter(F.length("name") >= 3)
+    spots = F.sequence(F.lit(1), F.length("name") - 2)
+    grams = grams.withColumn("gram", F.explode(F.array_distinct(F.transform(spots, lambda i: F.substr("name", i, F.lit(3))))))
+    asked = keyed.withColumn("kw", F.explode("keywords")).withColumn("gram", F.substring("kw", 1, 3))
+    hit = asked.join(grams, "gram").filter(F.contains("name", "kw"))
+    return hit.groupBy("q_id", "article_id").agg(F.countDistinct("kw").cast("int").alias("hits"), F.first("keywords").alias("keywords"))
+
+
+@query(
+    f"WITH k AS ({_KW}), p AS (SELECT article_id, {_norm('title')} AS name FROM ({_PAGE})) "
+    "SELECT q_id, article_id, hits::INT AS hits FROM (SELECT q_id, article_id, len(list_filter(kws, lambda w: contains(name, w))) AS hits FROM k CROSS JOIN p) WHERE hits > 0"
+)
+def keyword_hits(spark, d):
+    return _trigram_pairs(_simple_keywords(spark, d), _pages(spark, d)).select("q_id", "article_id", "hits")
+
+
+@query(
+    f"WITH k AS ({_KW}), p AS (SELECT article_id, {_norm('title')} AS name FROM ({_PLAIN})) SELECT q_id, count(*) AS n_matches FROM "
+    "(SELECT q_id, len(kws) AS n, len(list_filter(kws, lambda w: contains(name, w))) AS hits FROM k CROSS JOIN p) "
+    "WHERE n > 0 AND hits >= CASE WHEN n >= 3 THEN 2 ELSE 1 END GROUP BY q_id"
+)
+def keyword_match(spark, d):
+    pairs = _trigram_pairs(_simple_keywords(spark, d), _plain(spark, d))
+    return pairs.filter(F.col("hits") >= F.when(F.size("keywords") >= 3, 2).otherwise(1)).groupBy("q_id").agg(F.count("*").alias("n_matches"))
+
+
+@query(
+    f"SELECT q_id, title_id FROM (SELECT q_id, {_norm('phrase')} AS p FROM {X.sql(X.listed(X.PHRASES), 'q_id, pos, phrase')}) "
+    f"CROSS JOIN (SELECT title_id, {_norm('title')} AS t FROM {X.sql(X.TITLES, 'title_id, title')} ) "
+    "WHERE regexp_matches(t, '(^| )' || replace(p, ' ', '( .*)? ') || '( |$)') GROUP BY q_id, title_id"
+)
+def phrase_subsequence(spark, d):
+    asked = _questions(spark).select("q_id", U.focus_phrases(F.col("question")).alias("phrases"))
+    index = corpus.title_index(_titles(spark))
+    tokens = asked.select("q_id", "phrases", F.explode(F.array_distinct(F.flatten(F.transform("phrases", T.norm_tokens)))).alias("token"))
+    pairs = tokens.join(index, "token").select("q_id", "phrases", "title_id", "title").distinct()
+    return pairs.filter(M.matches_phrase(F.col("title"), F.col("phrases"))).select("q_id", "title_id")
+
+
+@query(
+    f"WITH k AS ({_KW}), a AS (SELECT doc_id, lower(substring(text, 1, 500)) AS a FROM documents WHERE lang = 'en') "
+    "SELECT q_id, count(*) AS n_hits FROM k CROSS JOIN a WHERE len(list_filter(kws, lambda w: contains(a, w))) > 0 GROUP BY q_id"
+)
+def abstract_keyword_hit(spark, d):
+    low = corpus.table(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.lower(T.truncate(F.col("text"))).alias("a"))
+    gram = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("a") - 2, F.lit(1))), lambda i: F.substr("a", i, F.lit(3))))).alias("gram")
+    asked = _simple_keywords(spark, d).withColumn("kw", F.explode("keywords")).withColumn("gram", F.substring("kw", 1, 3)).select("q_id", "kw", "gram")
+    hit = low.select("doc_id", "a", gram).join(asked, "gram").filter(F.contains("a", "kw"))
+    return hit.select("q_id", "doc_id").distinct().groupBy("q_id").agg(F.count("*").alias("n_hits"))
+
+
+# --- retrieval ----------------------------------------------------------------
+
+#: Terms of the benchmark questions for the SQL side: their first three content words.
+_TERM = (
+    f"SELECT q_id, (row_number() OVER (PARTITION BY q_id ORDER BY i) - 1)::INT AS term_pos, w AS term FROM (SELECT q_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i "
+    f"FROM (SELECT q_id, regexp_extract_all(lower(question), '[a-z0-9]+') AS ws FROM ({_BENCH}))) WHERE length(w) > 3 QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY i) <= 3"
+)
+_SEARCH = f"""WITH t AS ({_TERM}), p AS (SELECT *, {_norm('title')} AS name FROM ({_PAGE})),
+h AS (SELECT q_id, term_pos, article_id, title, url, (CASE WHEN name = term THEN 1000 ELSE 0 END + CASE WHEN starts_with(name, term) THEN 100 ELSE 0 END + 10)::INT AS search_score
+  FROM t JOIN (SELECT *, unnest(list_distinct(string_split(name, ' '))) AS token FROM p) ON token = term),
+s AS (SELECT *, row_number() OVER (PARTITION BY q_id, term_pos ORDER BY search_score DESC, length(title), article_id)::INT AS "rank" FROM h QUALIFY "rank" <= 4)"""
+_FIRST = _SEARCH + """, f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY q_id, lower(title) ORDER BY term_pos, "rank") = 1)"""
+
+
+def _term_rows(spark, d):
+    words = F.filter(T.norm_tokens(F.col("question")), lambda w: F.length(w) > 3)
+    return _bench(spark, d).select("q_id", F.lit(4).alias("depth"), F.posexplode(F.slice(words, 1, 3)).alias("term_pos", "term"))
+
+
+def _found(spark, d):
+    return retrieve.search(_term_rows(spark, d), corpus.title_index(_pages(spark, d)), 4)
+
+
+@query(_SEARCH + ' SELECT q_id, term_pos, "rank", article_id, title, url, search_score FROM s')
+def search_topk_per_term(spark, d):
+    return _found(spark, d)
+
+
+@query(_FIRST + ' SELECT q_id, term_pos, "rank", article_id FROM f')
+def dedup_first_wins(spark, d):
+    return retrieve.first_wins(_found(spark, d)).select("q_id", "term_pos", "rank", "article_id")
+
+
+@query(_FIRST + ' , c AS (SELECT *, (SELECT count(*) FROM f g WHERE g.q_id = f.q_id AND g.term_pos < f.term_pos) AS b FROM f) SELECT q_id, term_pos, "rank", article_id FROM c WHERE b < 3')
+def soft_cap(spark, d):
+    return retrieve.soft_cap(retrieve.first_wins(_found(spark, d)), 3).select("q_id", "term_pos", "rank", "article_id")
+
+
+_LOOKUP_TERMS = [(1, 0, "Dune"), (1, 1, "The Expanse"), (2, 0, "Photosynthesis"), (2, 1, "NASA"), (3, 3, "NASA"), (4, 0, "Nowhere")]
+
+
+def _lookup(spark):
+    terms = X.frame(spark, _LOOKUP_TERMS, "q_id int, term_pos int, term string")
+    articles = _titles(spark).select(F.col("title_id").alias("article_id"), "title", F.lit("u").alias("url"))
+    seen = X.frame(spark, [(2, "nasa"), (5, "Dune (film)")], "q_id int, title string")
+    return terms, articles, seen
+
+
+_LOOKUP = f"WITH t AS (SELECT * FROM {X.sql(_LOOKUP_TERMS, 'q_id, term_pos, term')}), a AS (SELECT * FROM {X.sql(X.TITLES, 'article_id, title')}), seen AS (SELECT * FROM (VALUES (2, 'nasa'), (5, 'dune (film)')) AS s(q_id, low))"
+
+
+@query(_LOOKUP + " SELECT t.q_id, term_pos, article_id FROM t JOIN a ON a.title = t.term WHERE term_pos < 3 AND NOT EXISTS (SELECT 1 FROM seen WHERE seen.q_id = t.q_id AND low = lower(a.title))")
+def direct_lookup(spark, d):
+    return retrieve.direct_lookup(*_lookup(spark)).select("q_id", "term_pos", "article_id")
+
+
+@query(
+    _LOOKUP + ", x(s, k) AS (VALUES (' (TV series)', 0), (' (film)', 1), (' (TV show)', 2), (' (television)', 3)) SELECT t.q_id, term_pos, article_id FROM t CROSS JOIN x JOIN a ON a.title = term || s "
+    "WHERE term_pos < 3 AND NOT EXISTS (SELECT 1 FROM seen WHERE seen.q_id = t.q_id AND low = lower(a.title)) QUALIFY row_number() OVER (PARTITION BY t.q_id, term_pos ORDER BY k) = 1"
+)
+def media_lookup(spark, d):
+    return retrieve.media_lookup(*_lookup(spark)).select("q_id", "term_pos", "article_id")
+
+
+@query(f"SELECT article_id FROM ({_PAGE}) p WHERE NOT EXISTS (SELECT 1 FROM ({_PLAIN}) q WHERE lower(q.title) = lower(p.title))")
+def unseen_anti_join(spark, d):
+    low = _plain(spark, d).select(F.lower("title").alias("low")).distinct()
+    return _pages(spark, d).join(low, F.lower("title") == F.col("low"), "left_anti").select("article_id")
+
+
+# ordered and ranked candidates share one SQL chain over the simplified terms and keywords
+_MATCH = f"len(kws) = 0 OR len(list_filter(kws, lambda w: contains({_norm('title')}, w))) >= CASE WHEN len(kws) >= 3 THEN 2 ELSE 1 END"
+_ORDER = _FIRST + f""", k AS ({_KW}), d AS (SELECT q_id, {_depth_sql('question')} AS depth FROM ({_BENCH})),
+m AS (SELECT f.*, kws, depth, ({_MATCH}) AS kw, row_number() OVER (PARTITION BY f.q_id ORDER BY term_pos, "rank") AS p0 FROM f JOIN k USING (q_id) JOIN d USING (q_id)),
+o AS (SELECT *, (row_number() OVER (PARTITION BY q_id ORDER BY CASE WHEN len(kws) > 0 AND kw THEN 1 ELSE 0 END DESC, p0) - 1)::INT AS pos FROM m)"""
+
+
+def _ordered(spark, d):
+    found = retrieve.first_wins(_found(spark, d))
+    pos = (F.row_number().over(Window.partitionBy("q_id").orderBy("term_pos", "rank")) - 1).cast("int")
+    base = found.withColumn("pos", pos).select("q_id", "pos", "article_id", "title", "url")
+    extra = _simple_keywords(spark, d).withColumn("phrases", F.array().cast("array<string>")).join(_bench(spark, d).select("q_id", U.depth(F.col("question")).alias("depth")), "q_id")
+    return retrieve.prioritise(base.join(extra, "q_id"))
+
+
+@query(_ORDER + " SELECT q_id, pos, article_id FROM o")
+def priority_order(spark, d):
+    return _ordered(spark, d).select("q_id", "pos", "article_id")
+
+
+_SCORE = _ORDER + """, sc AS (SELECT o.*, text AS abstract, (CASE WHEN length(coalesce(text, '')) > 200 THEN 20 WHEN length(coalesce(text, '')) > 100 THEN 10 ELSE 0 END
+  + CASE WHEN len(kws) > 0 AND len(list_filter(kws, lambda w: contains(lower(coalesce(text, '')), w))) > 0 THEN 25 ELSE 0 END
+  + CASE WHEN length(title) < 30 THEN 5 ELSE 0 END + CASE WHEN len(kws) > 0 THEN CASE WHEN kw THEN 80 ELSE -60 END ELSE 0 END
+  - CASE WHEN lower(title) LIKE 'list of%' OR lower(title) LIKE 'lists of%' THEN 50 ELSE 0 END
+  - CASE WHEN contains(lower(title), 'disambiguation') OR contains(lower(title), 'index of') THEN 40 ELSE 0 END)::INT AS score
+  FROM o LEFT JOIN (SELECT doc_id, substring(text, 1, 500) AS text FROM documents) ON doc_id = article_id),
+rk AS (SELECT *, count(*) OVER (PARTITION BY q_id) <= depth AS bypass FROM sc),
+rr AS (SELECT * EXCLUDE ("rank"), (CASE WHEN bypass THEN row_number() OVER (PARTITION BY q_id ORDER BY pos) ELSE row_number() OVER (PARTITION BY q_id ORDER BY score DESC, pos) END)::INT AS "rank" FROM rk)"""
+
+
+def _ranked(spark, d):
+    """Pages have no plain abstract, so the document of the same number lends its beginning."""
+    abstracts = corpus.table(spark, d, "documents").select(F.col("doc_id").alias("article_id"), T.truncate(F.col("text")).alias("abstract"))
+    return rank.rank(rank.score(_ordered(spark, d).join(abstracts, "article_id", "left")))
+
+
+@query(_SCORE + " SELECT q_id, article_id, score FROM rr")
+def relevance_score(spark, d):
+    return _ranked(spark, d).select("q_id", "article_id", "score")
+
+
+@query(_SCORE + ' SELECT q_id, article_id, title, score, pos, "rank" FROM rr')
+def rank_candidates(spark, d):
+    return _ranked(spark, d).select("q_id", "article_id", "title", "score", "pos", "rank")
+
+
+@query(_SCORE + " SELECT q_id, count(*) AS n FROM rr WHERE bypass GROUP BY q_id")
+def bypass_small(spark, d):
+    return _ranked(spark, d).filter("bypass").groupBy("q_id").agg(F.count("*").alias("n"))
+
+
+@query(
+    _SCORE + """, l AS (SELECT *, CASE WHEN length(coalesce(abstract, '')) > 30 THEN title || ' - ' || CASE WHEN length(abstract) > 200 THEN substring(abstract, 1, 200) || '...' ELSE abstract END
+  WHEN NOT (lower(title) LIKE 'list of%' OR lower(title) LIKE 'lists of%') THEN title || ' (main article)' END AS line FROM rr WHERE "rank" <= 30)
+SELECT q_id, row_number() OVER (PARTITION BY q_id ORDER BY "rank")::INT AS display_no, "rank", title, line FROM l WHERE line IS NOT NULL"""
+)
+def shortlist_numbering(spark, d):
+    return rank.shortlist(_ranked(spark, d))
+
+
+@query(
+    f"WITH s AS (SELECT q_id, unnest(xs) AS x, generate_subscripts(xs, 1) AS i FROM (SELECT q_id, regexp_extract_all(answer, '\\d+') AS xs FROM {X.sql(X.ANSWERS, 'q_id, answer')})), "
+    "n AS (SELECT q_id, TRY_CAST(x AS INTEGER) AS no, min(i) AS i FROM s WHERE TRY_CAST(x AS INTEGER) BETWEEN 1 AND 5 GROUP BY 1, 2) "
+    'SELECT q_id, row_number() OVER (PARTITION BY q_id ORDER BY i)::INT AS pick, (no + 10)::INT AS "rank" FROM n QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY i) <= 3'
+)
+def parse_selection(spark, d):
+    answers = X.frame(spark, X.ANSWERS, "q_id int, answer string")
+    shown = answers.select("q_id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("display_no")).withColumn("rank", F.col("display_no") + 10)
+    return rank.parse_selection(answers, shown, F.lit(3))
+
+
+@query(
+    _SCORE + """, g AS (SELECT *, NOT (lower(title) LIKE 'list of%' OR lower(title) LIKE 'lists of%' OR regexp_matches(title, '\\b(19|20)\\d{2}\\b') OR contains(lower(title), 'disambiguation')) AS clean FROM rr),
+a AS (SELECT *, CASE WHEN len(kws) = 0 THEN clean WHEN bool_or(clean AND kw) OVER w THEN clean AND kw WHEN bool_or(kw) OVER w THEN kw ELSE clean END AS a FROM g WINDOW w AS (PARTITION BY q_id)),
+b AS (SELECT *, bool_or(a) OVER (PARTITION BY q_id) AS any_left FROM a),
+c AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY "rank")::INT AS pick FROM b WHERE bypass OR a OR NOT any_left)
+SELECT q_id, article_id, "rank", pick FROM c WHERE bypass OR pick <= depth"""
+)
+def fallback_select(spark, d):
+    return rank.fallback_select(_ranked(spark, d)).select("q_id", "article_id", "rank", "pick")
+
+
+@query("SELECT n::INT AS n, (CASE n WHEN 3 THEN 20 WHEN 4 THEN 15 WHEN 5 THEN 12 WHEN 6 THEN 10 WHEN 7 THEN 8 ELSE 15 END)::INT AS paragraphs FROM range(1, 10) AS r(n)")
+def depth_lookup(spark, d):
+    return spark.range(1, 10).select(F.col("id").cast("int").alias("n"), rank.depth_of(F.col("id")).alias("paragraphs"))
+
+
+# --- contents -----------------------------------------------------------------
+
+_PARA = "SELECT doc_id AS article_id, unnest(string_split(text, chr(10))) AS paragraph, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS para_pos FROM documents"
+_BUDGET = f"SELECT * FROM (SELECT *, sum(length(paragraph)) OVER (PARTITION BY article_id ORDER BY para_pos)::BIGINT AS running FROM ({_PARA}) WHERE para_pos < 15 AND length(paragraph) > 50) WHERE running <= 8000"
+
+
+def _budget(spark, d):
+    return content.budget(content.plain_paragraphs(corpus.table(spark, d, "documents")), 15)
+
+
+@query(f"SELECT article_id, para_pos::INT AS para_pos, paragraph FROM ({_PARA})")
+def plain_paragraphs(spark, d):
+    return content.plain_paragraphs(corpus.table(spark, d, "documents"))
+
+
+@query(f"SELECT article_id, para_pos::INT AS para_pos, running FROM ({_BUDGET})")
+def para_budget(spark, d):
+    return _budget(spark, d).select("article_id", "para_pos", "running")
+
+
+@query(
+    f"SELECT article_id, regexp_replace(regexp_replace(string_agg(paragraph, chr(10) || chr(10) ORDER BY para_pos), '\\[\\d+\\]', '', 'g'), '\\s+', ' ', 'g') AS content FROM ({_BUDGET}) GROUP BY article_id"
+)
+def article_content(spark, d):
+    return content.contents(_budget(spark, d))
+
+
+@query(f"SELECT article_id, substring(arg_min(paragraph, para_pos), 1, 500) AS abstract FROM ({_PARA}) WHERE length(paragraph) > 100 GROUP BY article_id")
+def plain_abstract(spark, d):
+    return content.abstracts(content.plain_paragraphs(corpus.table(spark, d, "documents")))
+
+
+@query()
+def html_paragraphs(spark, d):
+    return html.explode_paragraphs(corpus.table(spark, d, "pages"))
+
+
+@query()
+def html_abstract(spark, d):
+    return content.abstracts(html.explode_paragraphs(corpus.table(spark, d, "pages")))
+
+
+@query()
+def html_content(spark, d):
+    return content.contents(content.budget(html.explode_paragraphs(corpus.table(spark, d, "pages"), autoclose=True), 15))
+
+
+# --- assembly -----------------------------------------------------------------
+
+_SELECTED = _SQL["fallback_select"].replace('SELECT q_id, article_id, "rank", pick FROM c WHERE bypass OR pick <= depth', ", sel AS (SELECT * FROM c WHERE bypass OR pick <= depth)").replace(")\n, sel", "), sel")
+_CITED = _SELECTED + f""", ct AS ({_SQL['article_content']}),
+nu AS (SELECT q_id, row_number() OVER (PARTITION BY q_id ORDER BY pick)::INT AS cite_no, sel.article_id, title, url, content FROM sel JOIN ct ON ct.article_id = sel.article_id WHERE content <> '')"""
+
+
+def _sources(spark, d):
+    return content.number_sources(rank.fallback_select(_ranked(spark, d)), article_content(spark, d))
+
+
+@query(_CITED + " SELECT q_id, cite_no, article_id, title FROM nu")
+def number_sources(spark, d):
+    return _sources(spark, d).select("q_id", "cite_no", "article_id", "title")
+
+
+@query(
+    _CITED + """ SELECT q_id, string_agg('[Article ' || cite_no || '] **' || title || '**:' || chr(10) || content, chr(10) || chr(10) ORDER BY cite_no) AS context,
+string_agg('[' || cite_no || '] ' || title, chr(10) ORDER BY cite_no) AS source_list, count(*) AS n_sources FROM nu GROUP BY q_id"""
+)
+def build_context(spark, d):
+    return assemble.contexts(_sources(spark, d))
+
+
+@query(
+    f"SELECT q_id, CASE WHEN len(xs) > 0 THEN 'No article content was found. Try spelling out: ' || array_to_string(list_transform(xs[1:3], lambda x: '''' || x || ''''), ', ') "
+    "ELSE 'No article content was found. Try other words.' END AS message FROM (SELECT q_id, list_filter(regexp_split_to_array(translate(question, '?,.', ''), '\\s+'), "
+    f"lambda w: regexp_matches(w, '\\p{{Lu}}') AND NOT regexp_matches(w, '[\\p{{Ll}}\\p{{Lt}}]') AND length(w) BETWEEN 2 AND 5) AS xs FROM {X.sql(X.QUESTIONS, 'q_id, question')})"
+)
+def missing_content_help(spark, d):
+    return _questions(spark).select("q_id", assemble.missing_content(F.col("question")).alias("message"))
+
+
+def _model_sql(preferences: list[str], avoid: bool) -> str:
+    prefs = X.sql([(i, n, n.split(":")[0]) for i, n in enumerate(preferences)], "r, wanted, family")
+    usable = "WHERE NOT contains(lower(name), 'r1') AND NOT contains(lower(name), 'deepseek')" if avoid else ""
+    return (
+        f"WITH a AS (SELECT * FROM {X.sql(X.MODELS, 'case_id, pos, name')}), b AS (SELECT case_id, name FROM a JOIN (SELECT * FROM {prefs}) ON starts_with(name, family) "
+        "QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY r, name <> wanted, pos) = 1), "
+        f"l AS (SELECT case_id, arg_min(name, pos) AS name FROM a {usable} GROUP BY case_id) "
+        "SELECT case_id, coalesce(b.name, l.name) AS name FROM b FULL JOIN l USING (case_id)"
+    )
+
+
+@query(_model_sql(SELECTION_MODELS, True))
+def select_model(spark, d):
+    return models.preferred(X.frame(spark, X.MODELS, "case_id int, pos int, name string"), SELECTION_MODELS, ["r1", "deepseek"])
+
+
+@query(_model_sql(SYNTHESIS_MODELS, False))
+def synth_model(spark, d):
+    return models.preferred(X.frame(spark, X.MODELS, "case_id int, pos int, name string"), SYNTHESIS_MODELS)
+
+
+# --- measures and checks --------------------------------------------------------
+
+
+@query("SELECT role, count(*) AS n_turns, sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')))::BIGINT AS tokens FROM conversations GROUP BY role")
+def tokens_per_role(spark, d):
+    turns = corpus.table(spark, d, "conversations")
+    return turns.groupBy("role").agg(F.count("*").alias("n_turns"), F.sum(F.size(T.words(F.col("text")))).alias("tokens"))
+
+
+@query(
+    "SELECT event_type AS model, count(*)::BIGINT AS tokens, round(epoch(max(ts)) - epoch(min(ts)), 3) AS seconds, "
+    "round(count(*) / nullif(epoch(max(ts)) - epoch(min(ts)), 0), 6) AS tokens_per_s FROM events GROUP BY event_type"
+)
+def token_rate(spark, d):
+    chunks = corpus.table(spark, d, "events").select(F.col("event_type").alias("model"), "ts", F.lit("token").alias("text"))
+    return models.token_rate(chunks).select("model", "tokens", F.round("seconds", 3).alias("seconds"), F.round("tokens_per_s", 6).alias("tokens_per_s"))
+
+
+@query(f"SELECT CASE WHEN ok THEN 'PASS' WHEN NOT ok THEN 'FAIL' ELSE 'SKIP' END AS status, count(*) AS n FROM {X.sql(X.OUTCOMES, 'id, ok')} GROUP BY 1")
+def status_summary(spark, d):
+    status = F.when(F.col("ok"), "PASS").when(~F.col("ok"), "FAIL").otherwise("SKIP")
+    return X.frame(spark, X.OUTCOMES, "id int, ok boolean").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT 83::BIGINT AS n_stop, 48::BIGINT AS n_skip, 127::BIGINT AS n_union, 4::BIGINT AS n_both")
+def lexicon_invariants(spark, d):
+    stop, skip = (spark.createDataFrame([(w,) for w in ws], "w string") for ws in (STOPWORDS, SKIP_WORDS))
+    row = F.lit(1).alias("one")
+    parts = [stop.agg(F.count("*").alias("n_stop")), skip.agg(F.count("*").alias("n_skip")), stop.union(skip).distinct().agg(F.count("*").alias("n_union")), stop.intersect(skip).agg(F.count("*").alias("n_both"))]
+    out = parts[0].select("*", row)
+    for p in parts[1:]:
+        out = out.join(p.select("*", row), "one")
+    return out.drop("one")
+
+
+@query()
+def ask_end_to_end(spark, d):
+    return A.ask(_bench(spark, d), corpus.table(spark, d, "pages"))
