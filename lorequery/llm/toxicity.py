@@ -225,7 +225,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 0) -> Machine:
     score = {s: odds(s) for s in bad}
     witness = {i: max(bags[i], key=lambda s: (score[s], s)) for i in own if y[i]}
     # strings that several toxic documents share stand out beside the strongest ones
-    shared = {s for s in bad if bad[s] >= max(3, 0.02 * n_bad) and bad[s] / n_bad > 10 * (good[s] + 0.5) / n_good}
+    shared = {s for s in bad if bad[s] >= max(3, 0.02 * n_bad) and bad[s] / n_bad > 20 * (good[s] + 0.5) / n_good}
     names = sorted({*witness.values(), *shared}, key=lambda s: (-score[s], s))
     frequent = [s for s, _ in sorted(good.items(), key=lambda x: (-x[1], x[0])) if len(s) > 3]
     landmarks = names[: LANDMARKS // 2] + frequent[: LANDMARKS - min(len(names), LANDMARKS // 2)]
@@ -239,7 +239,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 0) -> Machine:
     mapped = landmarks.map(negatives)
     for _ in range(4):
         positives = sorted({*witness.values(), *shared})
-        positives = [s for s in positives if not good[s] or (bad[s] >= 3 and bad[s] / n_bad > 10 * good[s] / n_good)]
+        positives = [s for s in positives if not good[s] or (bad[s] >= 3 and bad[s] / n_bad > 50 * good[s] / n_good)]
         more = [_altered(s, random) for s in positives for _ in range(2) if len(s) > 3]
         wrong = [_altered(s, random) for s in (negatives[i] for i in random.permutation(len(negatives))[: 2 * len(more)]) if len(s) > 3]
         x = np.concatenate([mapped, landmarks.map(wrong), landmarks.map(positives + more)]) if wrong and positives else mapped
