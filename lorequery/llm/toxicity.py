@@ -159,9 +159,10 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, step
     cw = c * weight
     size = 1 / (1 + 2 * np.linalg.eigvalsh((x1 * cw[:, None]).T @ x1)[-1])
     w, ahead, t = np.zeros(x1.shape[1]), np.zeros(x1.shape[1]), 1.0
+    single = lambda v: v.astype(x1.dtype)  # noqa: E731  without it numpy would copy x1 in every step
     for _ in range(steps):
-        slack = np.maximum(0, 1 - y * (x1 @ ahead))
-        grad = np.r_[ahead[:-1], 0.0] - 2 * x1.T @ (cw * slack * y)
+        slack = np.maximum(0, 1 - y * (x1 @ single(ahead)))
+        grad = np.r_[ahead[:-1], 0.0] - 2 * (single(cw * slack * y) @ x1)
         new = ahead - size * grad
         t, old = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         ahead, w = new + (old - 1) / t * (new - w), new
