@@ -47,6 +47,8 @@ def _alphabet() -> np.ndarray:
 CODES = _alphabet()
 PAD = "\0" * 5
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
+_MARKS = re.compile(r"[\W_]+")
+_DOTTED = re.compile(r"[^\W\d_](?:[\W_]+[^\W\d_]){2,}").fullmatch
 _SPELLED = re.compile(r"(?:(?<=\s)|^)(?:\w[\W_]{0,3}\s){2,}\w(?=\W|$)")
 
 
@@ -71,9 +73,15 @@ def _singles(text: str):
         i = text.find(" ", i + 1)
 
 
+def _bare(word: str) -> str:
+    """A string without outer marks, and without any where marks stand between all its letters."""
+    word = _EDGES.sub("", word)
+    return _MARKS.sub("", word) if not word.isalpha() and _DOTTED(word) else word
+
+
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(begin of each word, subsequence ids (steps, places), weights of the steps, norms of the words)."""
-    parts = ["\x02" + _EDGES.sub("", w) + "\x03" + PAD for w in words]
+    parts = ["\x02" + _bare(w) + "\x03" + PAD for w in words]
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     raw = np.frombuffer("".join(parts).encode("utf-32-le", "replace"), dtype=np.uint32)
     codes = CODES[np.minimum(raw, 65535)]
