@@ -213,9 +213,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     ids are all null stays whole, as nothing tells its rows apart.
     """
     found = near_duplicates(docs.select(id_col, text_col), id_col, text_col, radius)
-    stay = durable(found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).agg(F.count("*").alias("__n")))
-    kept = docs.join(stay.select(F.col(id_col).alias("__stay")), F.col(id_col).eqNullSafe(F.col("__stay")), "left_semi")
-    if not stay.filter((F.col("__n") > 1) & F.col(id_col).isNotNull()).isEmpty():
-        null = kept.filter(F.col(id_col).isNull())
-        kept = kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(null)
+    stay = durable(found.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("__n")))
+    kept = docs.join(stay.select(F.col(id_col).alias("__stay")), F.col(id_col) == F.col("__stay"), "left_semi")
+    if not stay.filter("__n > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col])
+    nameless = docs.filter(F.col(id_col).isNull())
+    if not nameless.select(id_col).isEmpty():  # without ids, fingerprints tell whose component has none
+        alone = found.filter(F.col("component_id").isNull()).select(F.col("fingerprint").alias("__fingerprint")).distinct()
+        marked = map_text(nameless.withColumn("__text", F.col(text_col).cast("binary")), "__text", _starter, "__fp long", docs.columns)
+        marked = marked.join(alone, F.lpad(F.lower(F.hex("__fp")), 16, "0") == F.col("__fingerprint"), "left_semi")
+        kept = kept.unionByName(marked.select(docs.columns))
     return kept
+
+
+def _starter():
+    return lambda texts: {"__fp": [fingerprint_bytes(t) for t in texts]}

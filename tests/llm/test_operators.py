@@ -286,6 +286,7 @@ def test_kernel_and_toxicity(spark, odd, empty):
     value = dict(zip(["idiot", "id*iot", "idiiot", "thereing"], machine.margins(["idiot", "id*iot", "idiiot", "thereing"])))
     assert min(value["idiot"], value["id*iot"], value["idiiot"]) > value["thereing"]
     assert toxicity.score(odd, machine).count() == len(ODD) and toxicity.keep_clean(odd, machine).columns == odd.columns
+    assert machine.margins(["i.d.i-o.t"])[0] == value["idiot"]
     assert "moron" in toxicity.strings("you m o r o n there")
     assert toxicity.score(empty, toxicity.fit(empty, labels.limit(0), F.lit(True))).count() == 0
 
