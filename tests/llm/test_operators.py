@@ -225,11 +225,11 @@ PAGE = (
 @pytest.mark.parametrize("box", ["article", "main", 'div class="story"'])
 def test_html_extraction(spark, box):
     close = box.split()[0]
-    page = lambda n: PAGE.replace("</{box}>", f"</{close}>").format(n=n, box=box, more="<ul><li>item</li></ul>" if n % 2 else "")
+    page = lambda n: PAGE.replace("</{box}>", f"</{close}>").format(n=n, box=box, more=f"<ul><li>item {n}</li></ul>" if n % 2 else "")
     rows = [(n, f"http://h{n % 2}.example/{n}", page(n)) for n in range(20)] + [(30, None, None), (31, "http://h1.example/x", ""), (32, "http://only.example/", "plain <i>text</i>")]
     got = {r.page_id: r for r in wrapper_html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1))).collect()}
     for n in range(20):
-        want = [f"Title {n} & more", f"First {n} bold text on", f"Second {n}"] + (["item"] if n % 2 else [])
+        want = [f"Title {n} & more", f"First {n} bold text on", f"Second {n}"] + ([f"item {n}"] if n % 2 else [])
         assert got[n].text == "\n\n".join(want) and got[n].n_chars == len(got[n].text)
     assert got[30].text == got[31].text == "" and got[32].text == "plain text"
 
