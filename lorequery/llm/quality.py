@@ -21,9 +21,13 @@ MIN_WORDS, MAX_REPEAT = 50, 50
 SYMBOLS_A_WORD, SHOUTS_A_WORD, MAX_LOST = 0.3, 0.3, 0.5
 WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 SYMBOLS = re.compile(r"[#*$%&|<>]").findall
-_END = re.compile(r"""[.!?…。！？:;]["'»”’)\]]*$""")
-_NAVIGATION = re.compile(r"(?i)^(home|menu|login|log in|sign (in|up)|next|previous|back( to top)?|read more|skip to content|share|search|contact( us)?|about( us)?|sitemap)\b")
-_BOILERPLATE = re.compile(r"(?i)\b(all rights reserved|cookie policy|privacy policy|terms of (use|service)|use(s)? cookies|javascript|subscribe to our|click here|powered by|lorem ipsum)\b|©|\bcopyright\b")
+_END = r"""[.!?…。！？:;]["'»”’)\]]*$"""
+_MENU = r"home|menu|login|log in|sign (?:in|up)|next|previous|back(?: to top)?|read more|skip to content|share|search|contact(?: us)?|about(?: us)?|sitemap"
+_NOTICE = r"all rights reserved|cookie policy|privacy policy|terms of (?:use|service)|uses? cookies|javascript|subscribe to our|click here|powered by|lorem ipsum|copyright"
+_CELLS = ("|", "»", "›", ">", "·", "•", "/")
+_END_MARK = re.compile(_END)
+_NAVIGATION = re.compile(rf"(?i)^(?:{_MENU})\b")
+_BOILERPLATE = re.compile(rf"(?i)\b(?:{_NOTICE})\b|©")
 
 
 def counts(text: str | None) -> tuple[int, int, int, int, int]:
@@ -56,8 +60,8 @@ def line_fails(line: str, words: list[str], seen: bool) -> bool:
         seen
         or len(SYMBOLS(line)) > SYMBOLS_A_WORD * n
         or (n > 2 and line.count("!") > SHOUTS_A_WORD * n)
-        or (n > 3 and sum(w in ("|", "»", "›", ">", "·", "•", "/") for w in words) > 0.2 * n)
-        or (n <= 6 and not _END.search(line.rstrip()) and _NAVIGATION.match(line.strip()))
+        or (n > 3 and sum(w in _CELLS for w in words) > 0.2 * n)
+        or (n <= 6 and not _END_MARK.search(line.rstrip()) and _NAVIGATION.match(line.strip()))
         or (n <= 20 and _BOILERPLATE.search(line))
     )
 
@@ -99,3 +103,42 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
         return apply
 
     return map_text(docs.select(F.col(id_col), F.col(text_col).alias("__text")), "__text", start, schema + (", cleaned string" if with_text else ""))
+
+
+def oracle(table: str = "documents") -> str:
+    """DuckDB SQL for judge() of a table."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    word, edge = quote(r"[^\x20\x09-\x0D]+"), r"[^\p{L}\p{N}_]"
+    end, menu, notice = quote(_END), quote(rf"(?i)^(?:{_MENU})(?:$|{edge})"), quote(rf"(?i)(?:^|{edge})(?:{_NOTICE})(?:$|{edge})|©")
+    space = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]+"
+    strip = quote(rf"^{space}|{space}$")
+    symbols = lambda s: f"length(regexp_replace({s}, '[^#*$%&|<>]', '', 'g'))"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM {table}),
+split AS (SELECT r, regexp_extract_all(text, {word}) AS ws FROM docs),
+words AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM split),
+totals AS (SELECT r, count(*) AS n_words, sum(length(w)) AS word_chars FROM words GROUP BY r),
+triples AS (SELECT r, i, w AS a, lead(w) OVER own AS b, lead(w, 2) OVER own AS c FROM words WINDOW own AS (PARTITION BY r ORDER BY i)),
+often AS (SELECT r, i FROM triples WHERE c IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, a, b, c) > 1),
+repeats AS (SELECT r, count(DISTINCT i + k) AS n FROM often, unnest([0, 1, 2]) AS t(k) GROUP BY r),
+cut AS (SELECT r, string_split(text, chr(10)) AS ls FROM docs),
+spread AS (SELECT r, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM cut),
+lines AS (
+  SELECT r, line, regexp_replace(line, {strip}, '', 'g') AS bare, regexp_extract_all(line, {word}) AS ws,
+    row_number() OVER (PARTITION BY r, line ORDER BY pos) > 1 AS seen
+  FROM spread WHERE regexp_matches(line, {word})),
+sized AS (
+  SELECT *, len(ws) AS n, list_sum(list_transform(ws, lambda w: length(w))) AS chars, {symbols("line")} AS marks, length(line) - length(replace(line, '!', '')) AS shouts,
+    len(list_filter(ws, lambda w: list_contains([{", ".join(map(quote, _CELLS))}], w))) AS cells
+  FROM lines),
+judged AS (
+  SELECT r, seen, CASE WHEN seen OR marks > {SYMBOLS_A_WORD}::DOUBLE * n OR (n > 2 AND shouts > {SHOUTS_A_WORD}::DOUBLE * n) OR (n > 3 AND cells > 0.2::DOUBLE * n)
+    OR (n <= 6 AND NOT regexp_matches(bare, {end}) AND regexp_matches(bare, {menu})) OR (n <= 20 AND regexp_matches(line, {notice})) THEN chars ELSE 0 END AS lost
+  FROM sized),
+losses AS (SELECT r, sum(lost) AS lost_chars, count(*) FILTER (WHERE seen) AS n_dup_lines FROM judged GROUP BY r),
+counted AS (
+  SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, {symbols("text")}::BIGINT AS n_symbols,
+    coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(repeats.n, 0)::BIGINT AS n_repeat_words, coalesce(lost_chars, 0)::BIGINT AS lost_chars
+  FROM docs LEFT JOIN totals USING (r) LEFT JOIN repeats USING (r) LEFT JOIN losses USING (r)),
+based AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words AS base_failed FROM counted)
+SELECT *, NOT base_failed AND lost_chars <= {MAX_LOST}::DOUBLE * word_chars AS kept FROM based"""

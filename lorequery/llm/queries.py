@@ -73,4 +73,4 @@ SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 5"""
 
 
 def oracle_sql():
-    return {"op1_exact_top_k": _TOP_K, "op7_license_scan": license_scan.oracle()}
+    return {"op1_exact_top_k": _TOP_K, "op7_license_scan": license_scan.oracle(), "op9_quality_rules": quality.oracle()}

@@ -315,6 +315,18 @@ def test_quality_verdicts(spark, odd, empty):
     assert quality.judge(odd).count() == len(ODD) and quality.judge(empty).count() == 0
 
 
+def test_quality_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    lines = ["Home", "home é", "homeé", "Menu ", "copyrightß x", "xcopyright", "All Rights Reserved", "ſhare", "Sign up.\x1c", "©", "! ! !", "| a | b", "Share!”", "word\u3000", "a b c " * 30, "COOKIE POLICY_", "the cookie policy", "x ### y", " "]
+    body = " ".join(f"w{i} it." for i in range(40))
+    texts = [None, "", *lines, *(f"{x}\n{body}\n{x}" for x in lines), "\n".join(lines)]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, "Home"), (0, None)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents"))
+    want = quality.judge(docs)
+    sql = duckdb.sql(f"WITH documents AS (FROM '{tmp_path}/documents/*.parquet') SELECT {', '.join(want.columns)} FROM ({quality.oracle()})").fetchall()
+    assert sorted(map(repr, sql)) == sorted(repr(tuple(r)) for r in want.collect())
+
+
 # --- 10 ------------------------------------------------------------------------
 
 
