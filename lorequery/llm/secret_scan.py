@@ -11,7 +11,9 @@ spans; those of the base rules always stay.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from hashlib import sha256
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -51,11 +53,14 @@ def candidates(text: str | None, base: list[tuple[str, int, int]]) -> list[tuple
     """Long tokens with a digit that no base span touches."""
     if not text:
         return []
-    taken = [(a, b) for _, a, b in base]
-    return [
-        (m.start(), m.end()) for m in _LONG(text)
-        if any("0" <= c <= "9" for c in m[0]) and not any(a < m.end() and m.start() < b for a, b in taken)
-    ]
+    starts = [a for _, a, _ in base]
+    reach = list(accumulate((b for _, _, b in base), max))  # how far the spans up to each one go
+    out = []
+    for m in _LONG(text):
+        before = bisect_left(starts, m.end())
+        if any("0" <= c <= "9" for c in m[0]) and not (before and reach[before - 1] > m.start()):
+            out.append((m.start(), m.end()))
+    return out
 
 
 def _codes() -> np.ndarray:

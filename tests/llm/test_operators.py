@@ -75,6 +75,9 @@ def _base(text):
 def test_base_spans(parts):
     text = "".join(parts)
     assert secret_scan.base_spans(text) == _base(text)
+    base = _base(text)
+    tokens = [m.span() for m in re.finditer("[A-Za-z0-9+/_.=-]{16,}", text) if re.search("[0-9]", m[0])]
+    assert secret_scan.candidates(text, base) == [(a, b) for a, b in tokens if all(y <= a or b <= x for _, x, y in base)]
 
 
 def test_network_learns_and_redacts(spark, odd, empty):
