@@ -248,6 +248,21 @@ def test_wrapper_covers_its_pages():
         assert None not in wrapper.match(wrapper_html.blocks(wrapper_html.tokens(p)))
 
 
+def test_template_counts_all_different_pages(spark):
+    body = lambda n, more="": f"<div class=story><p>Story {n} of its own</p>{more}</div><div class=foot><p>Printed by the Example Press</p></div>"
+    long = "".join(f"<p>paragraph {k}</p>" for k in range(wrapper_html.TOKENS))
+    pages = [body(n, long if n == 3 else "") for n in range(6)]
+    # whichever page has the least hash, it has more copies than pages are sampled
+    rows = [(100 * n + k, "http://copies.example/", p) for n, p in enumerate(pages[:3]) for k in range(wrapper_html.SAMPLE + 2)]
+    rows += [(1000 + n, "http://long.example/", p) for n, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in wrapper_html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i] == f"Story {i // 100} of its own" for i in got if i < 1000)
+    for n in range(6):
+        assert "Press" not in got[1000 + n] and got[1000 + n].startswith(f"Story {n} of its own")
+    assert got[1003].endswith(f"paragraph {wrapper_html.TOKENS - 1}")
+
+
 # --- 7 -------------------------------------------------------------------------
 
 
