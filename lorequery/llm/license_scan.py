@@ -78,12 +78,34 @@ ANCHOR = "(?i)licen[cs]e|permission|copyright|redistribut|public domain|rights r
 #: Where a sentence ends: at a line break, or at an end mark before white space.
 BREAK = r"[.!?]+[ \t\r\n]+|[\n]+"
 
+#: Between two words of a known sentence: marks, and single line breaks with what stands before a comment's or list's lines; no empty line, no end of a sentence but before a digit ("v. 2.0").
+_GAP = r"(?:[^A-Za-z0-9.!?\n]|\n(?![^A-Za-z0-9\n]*\n)|[.!?](?![ \t\r\n])|\.[ \t]+(?=[0-9]))++"
+#: A number or letter of a list.
+_LABEL = r"\(?(?:[0-9]{1,2}|[A-Za-z])[.)]+[ \t]+"
+#: A known sentence as it stands in texts: from the start of a sentence, or right after another known one, with or without a list label, up to an end, which here is a semicolon too, or a colon before a list.
+WRAPPED = (
+    rf"(?i)(?:\G(?!\A)|(?<=\A|\n|[.!?][ \t\r\n]))[^A-Za-z0-9]*+(?:{_LABEL})?+[^A-Za-z0-9]*+("
+    + "|".join(s.replace(" ", _GAP) for s in sorted(SENTENCES.values(), key=len, reverse=True))
+    + rf")(?![A-Za-z0-9])(?=[^A-Za-z0-9]*?(?:[.!?]+[ \t\r\n]|[\n;]|\z|:[ \t]+{_LABEL}))"
+)
+
+
+def _plain(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+
 
 def sentence_ids(text: Column) -> Column:
-    """The identifiers of a text's sentences in order, 0 for unknown ones; sentences without a letter or digit are none."""
-    plain = F.transform(F.split(text, BREAK), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
+    """The identifiers of a text's sentences in order, 0 for unknown ones; sentences without a letter or digit are none.
+
+    Known sentences are found first, over line breaks as well; what is between them is
+    cut at BREAK.
+    """
     known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, i)])
-    return F.transform(F.filter(plain, lambda s: s != ""), lambda s: F.coalesce(F.try_element_at(known, s), F.lit(0)))
+    number = lambda s: F.coalesce(F.try_element_at(known, s), F.lit(0))
+    between = F.transform(F.split(text, WRAPPED), lambda p: F.transform(F.filter(F.transform(F.split(p, BREAK), _plain), lambda s: s != ""), number))
+    found = F.transform(F.regexp_extract_all(text, F.lit(WRAPPED), F.lit(1)), lambda s: F.array(number(_plain(s))))
+    none = F.array().cast("array<int>")
+    return F.flatten(F.zip_with(between, found, lambda a, b: F.concat(F.coalesce(a, none), F.coalesce(b, none))))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,7 +131,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def oracle(table: str = "documents") -> str:
-    """DuckDB SQL for scan() of a table."""
+    """DuckDB SQL for scan() of a table, but for known sentences that go over line breaks, follow a list label or end at a semicolon: it leaves those out."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({quote(s)}, {i})" for i, s in SENTENCES.items())
     rules = ", ".join(f"({k}, {quote(n)}, {quote(',' + ','.join(map(str, ids)) + ',')})" for k, (n, ids) in enumerate(RULES))

@@ -276,6 +276,75 @@ def test_licenses(spark, odd, empty):
     assert all(re.search(license_scan.ANCHOR, s) for s in mit.values())
 
 
+WRAPPED = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND.
+""",
+    "BSD-3-Clause": """// Redistribution and use in source and binary forms, with or without
+// modification, are permitted provided that the following conditions are met:
+//
+// 1. Redistributions of source code must retain the above copyright notice, this
+//    list of conditions and the following disclaimer.
+//
+// 2. Redistributions in binary form must reproduce the above copyright notice,
+//    this list of conditions and the following disclaimer in the documentation
+//    and/or other materials provided with the distribution.
+//
+// 3. Neither the name of the copyright holder nor the names of its
+//    contributors may be used to endorse or promote products derived from
+//    this software without specific prior written permission.
+""",
+    "Apache-2.0": """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+""",
+    "ISC": """ * Permission to use, copy, modify, and/or distribute this software for any
+ * purpose with or without fee is hereby granted, provided that the above
+ * copyright notice and this permission notice appear in all copies.
+""",
+    "MPL-2.0": """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
+""",
+}
+
+
+def test_wrapped_licenses(spark):
+    head, first, second, third = (license_scan.SENTENCES[i] for i in (20, 21, 22, 23))
+    texts = {**WRAPPED, "crlf": WRAPPED["BSD-3-Clause"].replace("\n", "\r\n")}
+    texts["numbered"] = f"{head}:\n1. {first}.\n2. {second}.\n3. {third}."
+    texts["line"] = f"{head}: 1. {first}. 2. {second}."
+    texts["apache line"] = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\nhttp://x'
+    texts["none"] = "All rights.\n\nReserved. I am\nnot all rights reserved; so it goes. All rights reserved here."
+    texts["plain"] = "One line.\nReleased under the MIT License.\nAnother one. 1. x"
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(list(texts.items()), "doc_id string, text string")).collect()}
+    assert {k: got[k].main_license for k in WRAPPED} == {k: k for k in WRAPPED}
+    assert got["MIT"].sentence_ids == "0,0,3,4,0" and got["Apache-2.0"].sentence_ids.startswith("6,7,8,")
+    assert got["BSD-3-Clause"].sentence_ids == got["crlf"].sentence_ids == got["numbered"].sentence_ids == "20,21,22,23"
+    assert got["line"].sentence_ids == "20,21,22" and got["apache line"].sentence_ids.startswith("6,7,8,")
+    assert got["none"].main_license is None and got["plain"].sentence_ids == "0,1,0,0,0"
+
+
 # --- 8 -------------------------------------------------------------------------
 
 
