@@ -80,12 +80,12 @@ CODES = _codes()
 
 
 def windows(text: str, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, codes): one row for each window of INSIDE characters of a candidate, with its surroundings."""
+    """(owner, codes): one row for each window of INSIDE characters of a candidate, with its surroundings; the last one ends where the candidate does."""
     owner, rows = [], []
     raw = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
     codes = CODES[np.minimum(raw, 256)]
     for k, (a, b) in enumerate(spans):
-        for begin in range(a, max(a + 1, b - INSIDE // 2), INSIDE):
+        for begin in (*range(a, b - INSIDE, INSIDE), max(a, b - INSIDE)):
             row = np.zeros(BEFORE + INSIDE + AFTER, dtype=np.int64)
             before = codes[max(0, begin - BEFORE) : begin]
             row[BEFORE - len(before) : BEFORE] = before

@@ -97,6 +97,17 @@ def test_network_learns_and_redacts(spark, odd, empty):
     assert secret_scan.scan(empty, secret_scan.fit(empty)).count() == 0
 
 
+def test_windows_cover_candidates():
+    for n in (1, 16, 47, 48, 49, 60, 72, 73, 96, 97, 120, 121, 200):
+        text = "(" * 30 + "x" * (n - 1) + "7" + "=" * 10
+        owner, codes = secret_scan.windows(text, [(30, 30 + n)])
+        last = codes[-1]
+        inside = last[secret_scan.BEFORE : secret_scan.BEFORE + min(n, secret_scan.INSIDE)]
+        assert inside[-1] == secret_scan.CODES[ord("7")] and (last[-secret_scan.AFTER :] == secret_scan.CODES[ord("=")]).all()
+        assert len(owner) == -(-n // secret_scan.INSIDE)
+        assert codes[0, secret_scan.BEFORE] == secret_scan.CODES[ord("x" if n > 1 else "7")]
+
+
 # --- 3 -------------------------------------------------------------------------
 
 
