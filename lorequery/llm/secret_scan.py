@@ -112,6 +112,7 @@ class Network:
         self.out = r.normal(0, 0.1, 2 * self.FILTERS)
         self.offset = np.zeros(1)
         self.slope, self.shift, self.threshold = 1.0, 0.0, 2.0
+        self.recall = self.precision = 0.0  # on held-back findings
 
     def _forward(self, x: np.ndarray):
         seen = np.lib.stride_tricks.sliding_window_view(x, self.WIDTH, axis=1)
@@ -157,14 +158,17 @@ class Network:
                     setattr(self, n, getattr(self, n) - 0.01 * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.999**step)) + 1e-8))
 
     def calibrate(self, z: np.ndarray, y: np.ndarray) -> None:
-        """Platt's slope and shift, then the highest threshold with the wanted recall, never under one half."""
+        """Platt's slope and shift, then the highest threshold with the wanted recall, and the recall and precision it has on z."""
         target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
         for _ in range(200):
             d = 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -50, 50))) - target
             self.slope -= 0.05 * (d * z).mean()
             self.shift -= 0.05 * d.mean()
         p = np.sort(self.probability(z[y > 0]))[::-1]
-        self.threshold = max(0.5, float(p[min(len(p) - 1, int(np.ceil(RECALL * len(p))) - 1)])) if len(p) else 2.0
+        self.threshold = float(p[min(len(p) - 1, int(np.ceil(RECALL * len(p))) - 1)]) if len(p) else 2.0
+        taken = self.probability(z) >= self.threshold
+        right = float((taken & (y > 0)).sum())
+        self.recall, self.precision = right / max(1, len(p)), right / max(1, taken.sum())
 
     def probability(self, z: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -50, 50)))

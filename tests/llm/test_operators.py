@@ -108,6 +108,17 @@ def test_windows_cover_candidates():
         assert codes[0, secret_scan.BEFORE] == secret_scan.CODES[ord("x" if n > 1 else "7")]
 
 
+def test_threshold_keeps_the_recall():
+    r = np.random.default_rng(7)
+    y = np.repeat([1, 0], [200, 800])
+    z = np.concatenate([r.normal(0.5, 1, 200), r.normal(-0.5, 1, 800)])  # labels that overlap: the recall asks for less than one half
+    network = secret_scan.Network()
+    network.calibrate(z, y)
+    taken = network.probability(z) >= network.threshold
+    assert taken[y > 0].mean() >= secret_scan.RECALL and network.threshold < 0.5
+    assert network.recall == taken[y > 0].mean() and network.precision == (y[taken] > 0).mean()
+
+
 # --- 3 -------------------------------------------------------------------------
 
 
