@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -38,6 +39,32 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
+def hash_share(hashed: Column, wanted: int, total: int) -> Column:
+    """Whether a row is in an even sample of about `wanted` out of `total`, by a 64-bit hash of it.
+
+    The share is kept to 64 bits, so that it never rounds to nothing: of 1e11 rows, 1e4 stay 1e4.
+    """
+    if total <= wanted:
+        return F.lit(True)
+    return hashed < F.lit(min((1 << 63) - 1, -(1 << 63) + max(1, (wanted << 64) // total)))
+
+
+def fitted(sample: DataFrame, train: Callable[[list[dict]], object]):
+    """train() on the rows of a bounded sample, as dicts, in one task; None where there are no rows.
+
+    The rows need not pass through the driver, a lost executor costs a retry, and numpy
+    keeps to the task's own cores. train() must not depend on the order of the rows.
+    """
+
+    def run(batches):
+        rows = [row for batch in batches for row in batch.to_pylist()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(rows))], type=pa.binary())], names=["model"])
+
+    got = sample.coalesce(1).mapInArrow(run, "model binary").collect()  # one row, the model
+    return pickle.loads(got[0]["model"]) if got else None
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each part holds about SLICE_CHARS of the column."""
     for batch in batches:

@@ -1,11 +1,13 @@
 """Secret scans: base rules, and a character convolutional network over candidates in context.
 
-Candidates are the base rules' findings and all long tokens that hold a digit. A
-network in numpy (character embedding, convolution, maxima over the candidate and over
-its surroundings) is trained on labelled findings: what the base rules find and what
-they pass over, in a bounded sample of texts. Its scores are calibrated, and the
-threshold is the highest that keeps the wanted recall on held-back findings. It adds
-spans; those of the base rules always stay.
+Candidates are the base rules' findings and all long tokens that are no plain word or
+number. A network in numpy (character embedding, convolution, maxima and means over the
+candidate and maxima over its surroundings) is trained on labelled findings: secrets of
+public formats and tokens that only look like them, made up and set into the corpus's own
+wording, and what the corpus holds itself, findings of the base rules and tokens of
+harmless forms. Its scores are calibrated, and the threshold is the highest that keeps
+the wanted recall on held-back findings of every format. It adds spans; those of the base
+rules always stay.
 """
 
 from __future__ import annotations
@@ -19,20 +21,30 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorequery.llm.common import map_text
+from lorequery.llm.common import fitted, hash_share, map_text
+from lorequery.llm.secret_shapes import draw
 
 KINDS = ("assign", "access", "hex")
 ADDED = "network"
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""").finditer
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}").finditer
 _HEX = re.compile(r"[0-9a-f]{24,}").finditer
-_LONG = re.compile(r"[A-Za-z0-9+/_.=-]{16,}").finditer
+_LONG = re.compile(r"[A-Za-z0-9+/_.=-]{8,}").finditer
+_NUMBER = re.compile(r"[0-9+/_.=-]+").fullmatch
+#: Parts that are words, with or without a capital, or numbers: no candidates without a digit beside letters.
+_PLAIN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+").fullmatch
+_PARTS = re.compile(r"[+/_.=-]+").split
+#: Forms that are no secrets, for labels of the corpus's own tokens: addresses, hosts, paths, words with a few digits, codes.
+_HARMLESS = re.compile(r"(?:[A-Za-z]+[+/_.=-]+)*(?:[A-Za-z]{2,}[0-9]{0,4}|[0-9]{1,6})(?:[+/_.=-]+(?:[A-Za-z]{2,}[0-9]{0,4}|[0-9]{1,6}))*[+/_.=-]*").fullmatch
 _KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 #: Window of characters about a candidate: of its surroundings before, of itself, of its surroundings after.
 BEFORE, INSIDE, AFTER = 24, 48, 8
-#: Sampled texts and candidates that the network learns from, at most.
-MAX_TEXTS, MAX_CANDIDATES = 20_000, 4_000
-RECALL = 0.99
+#: Texts that are sampled for the network's fit, and pieces of them that reach the driver, at most.
+MAX_TEXTS, MAX_PIECES = 20_000, 6_000
+#: Made-up findings of each format in the fit; the share of them, and of each format, that the threshold keeps.
+EACH, RECALL = 160, 0.95
+#: Longest piece of a text that the fit sees about one finding.
+PIECE = 400
 
 
 def base_spans(text: str | None) -> list[tuple[str, int, int]]:
@@ -50,16 +62,28 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: str | None, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Long tokens with a digit that no base span touches."""
+    """Tokens of eight characters or more that no base span touches, but for plain words and numbers.
+
+    Plain are letters in one case or with a capital, under 24 of them, such words joined
+    by marks, and figures; marks at an end, but for "=" after it, are no part of a token.
+    """
     if not text:
         return []
     starts = [a for _, a, _ in base]
     reach = list(accumulate((b for _, _, b in base), max))  # how far the spans up to each one go
     out = []
     for m in _LONG(text):
-        before = bisect_left(starts, m.end())
-        if any("0" <= c <= "9" for c in m[0]) and not (before and reach[before - 1] > m.start()):
-            out.append((m.start(), m.end()))
+        token = m[0]
+        if token.isalpha() and len(token) < 24 and (token[1:].islower() or token.isupper()):
+            continue
+        a, b = m.span()
+        token = token.rstrip("./_+-").lstrip("./=+")
+        a, b = (a + m[0].index(token), a + m[0].index(token) + len(token)) if token else (a, a)
+        if b - a < 8 or _NUMBER(token) or all(_PLAIN(p) and len(p) < 24 for p in _PARTS(token) if p):
+            continue
+        before = bisect_left(starts, b)
+        if not (before and reach[before - 1] > a):
+            out.append((a, b))
     return out
 
 
@@ -99,9 +123,9 @@ def windows(text: str, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.nda
 
 
 class Network:
-    """Embedding, one convolution of five characters, maxima in and about the candidate, a logistic unit."""
+    """Embedding, one convolution of five characters, maxima in and about the candidate and means in it, a logistic unit."""
 
-    WIDTH, SIZE, FILTERS = 5, 8, 24
+    WIDTH, SIZE, FILTERS = 5, 8, 32
 
     def __init__(self, seed: int = 0):
         r = np.random.default_rng(seed)
@@ -109,10 +133,12 @@ class Network:
         self.embed[0] = 0
         self.kernel = r.normal(0, (self.WIDTH * self.SIZE) ** -0.5, (self.WIDTH * self.SIZE, self.FILTERS))
         self.bias = np.zeros(self.FILTERS)
-        self.out = r.normal(0, 0.1, 2 * self.FILTERS)
+        self.out = r.normal(0, 0.1, 3 * self.FILTERS)
         self.offset = np.zeros(1)
         self.slope, self.shift, self.threshold = 1.0, 0.0, 2.0
-        self.recall = self.precision = 0.0  # on held-back findings
+        #: on held-back findings: recall of each format of secrets, share of each other format that is taken
+        self.recall: dict[str, float] = {}
+        self.taken: dict[str, float] = {}
 
     def _forward(self, x: np.ndarray):
         seen = np.lib.stride_tricks.sliding_window_view(x, self.WIDTH, axis=1)
@@ -122,53 +148,64 @@ class Network:
         inside = (places >= BEFORE - 2) & (places < BEFORE + INSIDE - 2)
         own, about = np.where(inside)[0], np.where(~inside)[0]
         top = own[act[:, own].argmax(axis=1)], about[act[:, about].argmax(axis=1)]
-        pooled = np.concatenate([np.take_along_axis(act, t[:, None], 1)[:, 0] for t in top], axis=1)
+        held = np.maximum((x[:, BEFORE : BEFORE + INSIDE] > 0).sum(axis=1), 1)[:, None]
+        mean = (act[:, own] * (x[:, own + 2] > 0)[:, :, None]).sum(axis=1) / held
+        pooled = np.concatenate([*(np.take_along_axis(act, t[:, None], 1)[:, 0] for t in top), mean], axis=1)
         return seen, grid, act, top, pooled, pooled @ self.out + self.offset[0]
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([self._forward(x[i : i + 512])[-1] for i in range(0, len(x), 512)]) if len(x) else np.zeros(0)
 
-    def fit(self, x: np.ndarray, y: np.ndarray, rounds: int = 12, seed: int = 0) -> None:
-        """Adam on the logistic loss, either label weighing as much."""
+    def fit(self, x: np.ndarray, y: np.ndarray, rounds: int = 14, seed: int = 0) -> None:
+        """Adam on the logistic loss, either label weighing as much; in single precision."""
         r, step = np.random.default_rng(seed), 0
         weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
         names = ("embed", "kernel", "bias", "out", "offset")
+        for n in names:
+            setattr(self, n, getattr(self, n).astype(np.float32))
+        weight = weight.astype(np.float32)
         first, second = ({n: np.zeros_like(getattr(self, n)) for n in names} for _ in range(2))
         for _ in range(rounds):
             order = r.permutation(len(y))
             for i in range(0, len(y), 64):
                 rows = order[i : i + 64]
                 seen, grid, act, top, pooled, z = self._forward(x[rows])
-                d = weight[rows] * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y[rows]) / len(rows)
+                d = (weight[rows] * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y[rows]) / len(rows)).astype(np.float32)
                 back = d[:, None] * self.out
                 d_act = np.zeros_like(act)
-                for t, part in zip(top, (back[:, : self.FILTERS], back[:, self.FILTERS :])):
+                for t, part in zip(top, (back[:, : self.FILTERS], back[:, self.FILTERS : 2 * self.FILTERS])):
                     np.put_along_axis(d_act, t[:, None], np.take_along_axis(d_act, t[:, None], 1) + part[:, None], 1)
+                own = slice(BEFORE - 2, BEFORE + INSIDE - 2)
+                there = (x[rows][:, BEFORE : BEFORE + INSIDE] > 0)[:, :, None]
+                d_act[:, own] += back[:, None, 2 * self.FILTERS :] * there / np.maximum(there.sum(axis=1, keepdims=True), 1)
                 d_act *= act > 0
                 d_grid = (d_act @ self.kernel.T).reshape(*seen.shape, self.SIZE)
-                d_embed = np.zeros_like(self.embed)
-                np.add.at(d_embed, seen, d_grid)
+                flat, parts = seen.ravel(), d_grid.reshape(-1, self.SIZE)
+                d_embed = np.stack([np.bincount(flat, parts[:, k], len(self.embed)) for k in range(self.SIZE)], axis=1)
                 d_embed[0] = 0
                 grads = d_embed, np.tensordot(grid, d_act, ((0, 1), (0, 1))), d_act.sum(axis=(0, 1)), pooled.T @ d, np.array([d.sum()])
                 step += 1
                 for n, g in zip(names, grads):
-                    g = g + 1e-4 * getattr(self, n)
+                    g = (g + 1e-4 * getattr(self, n)).astype(np.float32)
                     first[n] = 0.9 * first[n] + 0.1 * g
                     second[n] = 0.999 * second[n] + 0.001 * g * g
                     setattr(self, n, getattr(self, n) - 0.01 * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.999**step)) + 1e-8))
 
-    def calibrate(self, z: np.ndarray, y: np.ndarray) -> None:
-        """Platt's slope and shift, then the highest threshold with the wanted recall, and the recall and precision it has on z."""
+    def calibrate(self, z: np.ndarray, y: np.ndarray, kinds: list[str]) -> None:
+        """Platt's slope and shift, then the highest threshold that keeps the wanted recall of every kind of findings with y = 1."""
         target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
         for _ in range(200):
             d = 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -50, 50))) - target
             self.slope -= 0.05 * (d * z).mean()
             self.shift -= 0.05 * d.mean()
-        p = np.sort(self.probability(z[y > 0]))[::-1]
-        self.threshold = float(p[min(len(p) - 1, int(np.ceil(RECALL * len(p))) - 1)]) if len(p) else 2.0
-        taken = self.probability(z) >= self.threshold
-        right = float((taken & (y > 0)).sum())
-        self.recall, self.precision = right / max(1, len(p)), right / max(1, taken.sum())
+        p, of, levels = self.probability(z), np.array(kinds), []
+        for kind in sorted(set(of[y > 0].tolist())):
+            own = np.sort(p[(of == kind) & (y > 0)])[::-1]
+            levels.append(float(own[int(np.ceil(RECALL * len(own))) - 1]))
+        self.threshold = min(levels, default=2.0)
+        taken = p >= self.threshold
+        self.recall = {k: float(taken[(of == k) & (y > 0)].mean()) for k in sorted(set(of[y > 0].tolist()))}
+        self.taken = {k: float(taken[(of == k) & (y < 1)].mean()) for k in sorted(set(of[y < 1].tolist()))}
 
     def probability(self, z: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -50, 50)))
@@ -183,62 +220,77 @@ class Network:
         return out
 
 
+def _windowed(text: str, group: list[tuple[int, int]]) -> np.ndarray:
+    """The first and the last window of each span."""
+    owner, x = windows(text, group)
+    if not len(x):
+        return x
+    first = np.unique(owner, return_index=True)[1]
+    last = len(owner) - 1 - np.unique(owner[::-1], return_index=True)[1]
+    return x[np.unique(np.concatenate([first, last]))]
+
+
 def train(texts: list[str], seed: int = 0) -> Network:
-    """Learn from the findings in texts; with findings of one label only, a network that adds nothing."""
-    found, codes = [], []
+    """Learn from made-up findings set into pieces of texts, and from the findings in the texts themselves.
+
+    Of the texts' own tokens, findings of the base rules are secrets, with their keyword
+    before them or blanked, and tokens of harmless forms are none; all others have no
+    label. Without any text the network learns from the made-up findings alone.
+    """
+    r = np.random.default_rng(seed)
+    snippets = [t[i : i + 40] for t in texts for i in (0, max(0, len(t) - 40))] or []
+    snippets = [s for s in snippets if not base_spans(s)]
+    sets = []
+    for secret in (True, False):
+        for name, text, a, b in draw(r, EACH, snippets, secret):
+            if secret or candidates(text, base_spans(text)):
+                x = _windowed(text, [(a, b)])[:1]
+                sets.append((name, int(secret), x))
     for text in texts:
         base = base_spans(text)
-        spans = [(a, b) for _, a, b in base]
-        # an assignment's value stands alone too: the network is to know it without its keyword
         values = [(m.start(1), m.end(1)) for m in _ASSIGN(text) if m.end(1) - m.start(1) >= 16] if base else []
-        for label, group in ((1, spans + values), (0, candidates(text, base))):
-            owner, x = windows(text, group)
-            if len(x):
-                first = np.unique(owner, return_index=True)[1]
-                codes.append(x[first])
-                found += [label] * len(first)
+        for label, group in ((1, [(a, b) for _, a, b in base] + values), (0, [(a, b) for a, b in candidates(text, base) if _HARMLESS(text[a:b])])):
+            for x in _windowed(text, group)[:8]:
+                sets.append(("corpus, base rules" if label else "corpus, harmless", label, x[None]))
+    most = 10 * EACH  # of the corpus's own findings, of either label
+    order, count, kept = r.permutation(len(sets)), {}, []
+    for i in order:
+        count[sets[i][0]] = count.get(sets[i][0], 0) + 1
+        if count[sets[i][0]] <= most:
+            kept.append(sets[i])
+    kinds, y, x = [k for k, _, _ in kept], np.array([v for _, v, _ in kept]), np.concatenate([c for _, _, c in kept])
+    # of every fourth finding the surroundings are blanked, so that its own look must count as well
+    x[::4, :BEFORE] = 0
+    held = np.arange(len(y)) % 4 == 1
     network = Network(seed)
-    y = np.array(found)
-    if not len(y) or y.min() == y.max():
-        return network
-    x = np.concatenate(codes)
-    r = np.random.default_rng(seed)
-    chosen = np.concatenate([r.permutation(np.nonzero(y == v)[0])[: MAX_CANDIDATES // 2] for v in (0, 1)])
-    x, y = x[chosen], y[chosen]
-    # of every other finding the surroundings are blanked, so that its own look must count as well
-    x[::2, :BEFORE] = np.where(np.arange(len(x[::2]))[:, None] % 2 == 0, 0, x[::2, :BEFORE])
-    order = r.permutation(len(y))
-    held, own = order[: len(y) // 4], order[len(y) // 4 :]
-    network.fit(x[own], y[own].astype(float), seed=seed)
-    network.calibrate(network.logits(x[held]), y[held])
+    network.fit(x[~held], y[~held].astype(float), seed=seed)
+    network.calibrate(network.logits(x[held]), y[held], [k for k, h in zip(kinds, held) if h])
     return network
 
 
 def fit(docs: DataFrame, text_col: str = "text", max_texts: int = MAX_TEXTS) -> Network:
-    """Learn from a bounded sample: texts with a long token that holds a digit, even by hash of the text.
+    """Learn from a bounded sample of about max_texts different texts at most, even by hash of the text.
 
-    At most about max_texts texts are looked at; what they hold comes to the driver cut
-    to the surroundings of candidates, a few hundred characters for each.
+    What they hold comes to one task cut to the surroundings of their findings, a few
+    hundred characters for each, and one piece of every text; MAX_PIECES of them at most.
+    Without any text there is nothing to scan, and the network adds nothing.
     """
-    text = F.col(text_col)
-    total = docs.count()
-    share = min(1_000_000, int(1_000_000 * max_texts / total)) if total else 0
-    sample = docs.select(text.alias("text")).filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share))
+    sample = docs.select(F.col(text_col).alias("text")).filter(F.col("text").isNotNull() & hash_share(F.xxhash64("text"), max_texts, docs.count()))
 
     def start():
         def apply(texts):
             out = []
             for text in texts:
                 base = base_spans(text)
-                spots = [(a, b) for _, a, b in base] + candidates(text, base)[:20]
-                out.append([text[max(0, a - 60) : b + 60] for a, b in spots if b - a < 400])
+                begin = (len(text) * 617) // 1000
+                out.append([text[begin : begin + 120]] + [text[max(0, a - 60) : min(b, a + PIECE) + 60] for a, b in [(a, b) for _, a, b in base] + candidates(text, base)])
             return {"near": out}
 
         return apply
 
     pieces = map_text(sample, "text", start, "near array<string>").select(F.explode("near").alias("near")).distinct()
-    rows = pieces.orderBy(F.xxhash64("near"), "near").limit(3 * MAX_CANDIDATES).collect()  # at most 12,000 short strings
-    return train([r["near"] for r in rows])
+    chosen = pieces.orderBy(F.xxhash64("near"), "near").limit(MAX_PIECES)
+    return fitted(chosen, lambda rows: train(sorted(r["near"] for r in rows))) or Network()
 
 
 def spans(text: str | None, network: Network) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

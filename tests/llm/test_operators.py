@@ -12,7 +12,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lorequery.llm import bpe, langid, license_scan, packing, quality, secret_scan, simhash, topk, toxicity, wrapper_html
+from lorequery.llm import bpe, langid, license_scan, packing, quality, secret_scan, secret_shapes, simhash, topk, toxicity, wrapper_html
+from lorequery.llm.common import hash_share
 
 BYTE, RANKS, WORD = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, fp long, id string, length string"
@@ -76,27 +77,77 @@ def test_base_spans(parts):
     text = "".join(parts)
     assert secret_scan.base_spans(text) == _base(text)
     base = _base(text)
-    tokens = [m.span() for m in re.finditer("[A-Za-z0-9+/_.=-]{16,}", text) if re.search("[0-9]", m[0])]
-    assert secret_scan.candidates(text, base) == [(a, b) for a, b in tokens if all(y <= a or b <= x for _, x, y in base)]
+    assert secret_scan.candidates(text, base) == _candidates(text, base)
+
+
+def _candidates(text, base):
+    out = []
+    for m in re.finditer("[A-Za-z0-9+/_.=-]+", text):
+        if len(m[0]) < 8:
+            continue
+        a, b = m.span()
+        while b > a and text[b - 1] in "./_+-":
+            b -= 1
+        while a < b and text[a] in "./=+":
+            a += 1
+        parts = [p for p in re.split("[+/_.=-]+", text[a:b]) if p]
+        plain = all(re.fullmatch("[A-Z]?[a-z]{0,23}|[A-Z]{1,23}", p) and len(p) < 24 for p in parts) or not re.search("[A-Za-z]", text[a:b])
+        if b - a >= 8 and not plain and all(y <= a or b <= x for _, x, y in base):
+            out.append((a, b))
+    return out
 
 
-def test_network_learns_and_redacts(spark, odd, empty):
+@pytest.fixture(scope="module")
+def network(spark):
+    """Fitted on texts in which secrets stand only in assignments."""
     r = np.random.default_rng(0)
     word = lambda n, a: "".join(r.choice(list(a), n))
-    texts = [f"some words here token = \"{word(40, '0123456789abcdef')}\" and {word(20, 'abcdefgh')}12 user.{i}@mail7.example.com stands" for i in range(300)]
-    net = secret_scan.train(texts)
-    assert 0.5 <= net.threshold < 1
-    held = f"key material AKIA{'A' * 20} here token: {word(40, '0123456789abcdef')} end"
-    base, all_ = secret_scan.spans(held, net)
+    texts = [f"some words here token = \"{word(40, '0123456789abcdef')}\" and {word(20, 'abcdefgh')}12 user.{i}@mail7.example.com stands, as {word(5, 'abc')} said" for i in range(300)]
+    return secret_scan.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
+
+
+def test_network_by_format(network):
+    r = np.random.default_rng(77)
+    snippets = ["the quick fox went over", "und so ging es weiter mit", "called on Monday, as planned", "x = y + 3; // done"]
+    for secret in (True, False):
+        taken = {}
+        for name, text, a, b in secret_shapes.draw(r, 100, snippets, secret):
+            taken.setdefault(name, []).append(any(x < b and a < y for k, x, y in secret_scan.spans(text, network)[1] if secret or k == "network"))
+        rates = {k: np.mean(v) for k, v in taken.items()}
+        assert min(rates.values()) >= 0.85 and np.mean(list(rates.values())) >= 0.95 if secret else max(rates.values()) <= 0.05, rates
+    assert min(network.recall.values()) >= secret_scan.RECALL and max(network.taken.values()) <= 0.05
+
+
+def test_planted_secrets_are_found(network):
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    r = np.random.default_rng(5)
+    key = lambda n: "".join(r.choice(list(alphabet), n))
+    for text, b in [(f"The aws key pair is {key(40)} as agreed.", 1), (f"we pushed ghp_{key(36)} by mistake", 1), (f"charge with sk_live_{key(24)}.", 1), (key(40), 1), ("he said 9807915762804490 and a.b34@mail7.example.com", 0), ("see /usr/share/doc/python3.11/README.md and getUserName2", 0)]:
+        assert len(secret_scan.spans(text, network)[1]) == b, text
+
+
+def test_network_redacts(spark, odd, empty, network):
+    r = np.random.default_rng(1)
+    held = f"key material AKIA{'A' * 20} here token: {''.join(r.choice(list('0123456789abcdef'), 40))} end"
+    base, all_ = secret_scan.spans(held, network)
     assert set(base) <= set(all_) and len(base) == 3
-    assert "AKIA" not in secret_scan.redacted(held, net) and secret_scan.redacted(None, net) is None
-    rows = secret_scan.scan(odd, net).collect()
+    assert "AKIA" not in secret_scan.redacted(held, network) and secret_scan.redacted(None, network) is None
+    rows = secret_scan.scan(odd, network).collect()
     assert len(rows) == len(ODD) and rows[0].base_sha256 == hashlib.sha256(b"").hexdigest() and rows[0].spans == ""
-    out = secret_scan.redact(odd, net)
+    out = secret_scan.redact(odd, network)
     assert out.columns == odd.columns and out.count() == len(ODD)
     assert secret_scan.scan(empty, secret_scan.fit(empty)).count() == 0
 
 
+def test_samples_never_round_to_nothing(spark):
+    rows = spark.range(200_000).select(F.xxhash64("id").alias("h"))
+    for total, wanted in ((10**11, 40_000), (10**13, 1), (1000, 400), (10, 10)):
+        limit = rows.filter(hash_share(F.col("h"), wanted, total)).count()
+        assert abs(limit - 200_000 * min(1, wanted / total)) <= 6 * (200_000 * min(1, wanted / total)) ** 0.5 + 1
+    low = spark.createDataFrame([(-(1 << 63),), (-(1 << 63) + 100,), (0,)], "h long")
+    assert low.filter(hash_share(F.col("h"), 2000, 10**11)).count() == 2  # the share of 64 bits is not zero
+
+
 def test_windows_cover_candidates():
     for n in (1, 16, 47, 48, 49, 60, 72, 73, 96, 97, 120, 121, 200):
         text = "(" * 30 + "x" * (n - 1) + "7" + "=" * 10
@@ -110,13 +161,13 @@ def test_windows_cover_candidates():
 
 def test_threshold_keeps_the_recall():
     r = np.random.default_rng(7)
-    y = np.repeat([1, 0], [200, 800])
-    z = np.concatenate([r.normal(0.5, 1, 200), r.normal(-0.5, 1, 800)])  # labels that overlap: the recall asks for less than one half
+    y = np.repeat([1, 1, 0], [150, 50, 800])
+    z = np.concatenate([r.normal(0.5, 1, 150), r.normal(0, 1, 50), r.normal(-0.5, 1, 800)])  # labels that overlap: the recall asks for less than one half
     network = secret_scan.Network()
-    network.calibrate(z, y)
+    network.calibrate(z, y, ["easy"] * 150 + ["hard"] * 50 + ["other"] * 800)
     taken = network.probability(z) >= network.threshold
-    assert taken[y > 0].mean() >= secret_scan.RECALL and network.threshold < 0.5
-    assert network.recall == taken[y > 0].mean() and network.precision == (y[taken] > 0).mean()
+    assert min(taken[:150].mean(), taken[150:200].mean()) >= secret_scan.RECALL and network.threshold < 0.5
+    assert network.recall == {"easy": taken[:150].mean(), "hard": taken[150:200].mean()} and network.taken == {"other": taken[200:].mean()}
 
 
 # --- 3 -------------------------------------------------------------------------
