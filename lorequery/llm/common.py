@@ -85,15 +85,13 @@ def map_text(
     start: Callable[[], Callable[[list], dict]],
     added: str,
     keep: list[str] | None = None,
-    where: Callable[[dict], list] | None = None,
 ) -> DataFrame:
     """Apply a batch function to a text column.
 
     start() runs once a task and returns a function from a list of texts (None where
     null) to a dict of columns, one value a row. The result holds the columns in keep
-    (default: all but the text) and those in added. where(columns) may give a flag for
-    each row; rows without it are left out. Replaced columns: a name both in keep and
-    in added takes the new values.
+    (default: all but the text) and those in added. A name both in keep and in
+    added takes the new values.
     """
     keep = [c for c in df.columns if c != column] if keep is None else keep
     new = T._parse_datatype_string(added) if added else T.StructType()
@@ -111,7 +109,32 @@ def map_text(
             out = apply(part.column(column).to_pylist())
             arrays = [part.column(c) for c in kept] + [pa.array(out[f.name], type=arrow.field(f.name).type) for f in new]
             arrays = [a.cast(arrow.field(i).type) if a.type != arrow.field(i).type else a for i, a in enumerate(arrays)]
-            result = pa.RecordBatch.from_arrays(arrays, schema=arrow)
-            yield result.filter(pa.array(where(out), type=pa.bool_())) if where else result
+            yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     return source.mapInArrow(run, schema)
+
+
+def change_rows(df: DataFrame, column: str, start: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
+    """df with its batches, cut by the characters of a text column, put through a function that keeps their columns.
+
+    start() runs once a task and returns the function; it may leave out rows. Whatever
+    the columns are called, none is added or renamed on the way.
+    """
+    schema = df.schema
+
+    def run(batches):
+        apply = start()
+        for part in slices(batches, column):
+            yield apply(part)
+
+    return df.mapInArrow(run, schema)
+
+
+def filter_text(df: DataFrame, column: str, start: Callable[[], Callable[[list], list]]) -> DataFrame:
+    """The rows of df that a batch function of a text column flags; start() runs once a task and returns it."""
+
+    def begin():
+        flags = start()
+        return lambda part: part.filter(pa.array(flags(part.column(column).to_pylist()), type=pa.bool_()))
+
+    return change_rows(df, column, begin)

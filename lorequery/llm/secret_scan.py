@@ -18,10 +18,11 @@ from hashlib import sha256
 from itertools import accumulate
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorequery.llm.common import fitted, hash_share, map_text
+from lorequery.llm.common import change_rows, fitted, hash_share, map_text
 from lorequery.llm.secret_shapes import draw
 
 KINDS = ("assign", "access", "hex")
@@ -357,23 +358,29 @@ def redacted(text: str | None, network: Network) -> str | None:
 
 
 def redact(docs: DataFrame, network: Network, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """docs with the secrets in its texts replaced, and length_col, where there is one, brought up to date."""
+    """docs with the secrets in its texts replaced, and length_col, where there is one, brought up to date for texts that change.
+
+    Null and empty texts stay as they are, as do all other columns, whatever they are
+    called; repeated rows stay equal; empty input gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(network)
-    kind = docs.schema[text_col].dataType.simpleString()
-    counted = length_col in docs.columns
-    source = docs.withColumn("__text", F.col(text_col))
 
     def start():
         network = shared.value
 
-        def apply(texts):
-            out = [redacted(t, network) for t in texts]
-            return {text_col: out} | ({"__length": [None if a == b or b is None else len(b) for a, b in zip(texts, out)]} if counted else {})
+        def apply(part: pa.RecordBatch) -> pa.RecordBatch:
+            at = part.schema.get_field_index(text_col)
+            old = part.column(at).to_pylist()
+            new = [redacted(t, network) for t in old]
+            columns = list(part.columns)
+            columns[at] = pa.array(new, type=part.schema.field(at).type)
+            counted = part.schema.get_field_index(length_col)
+            if counted >= 0:
+                kind = part.schema.field(counted).type
+                sizes = [n if a == b or b is None else len(b) for a, b, n in zip(old, new, part.column(counted).to_pylist())]
+                columns[counted] = pa.array([str(n) if n is not None and pa.types.is_string(kind) else n for n in sizes], type=kind)
+            return pa.RecordBatch.from_arrays(columns, schema=part.schema)
 
         return apply
 
-    keep = [c for c in docs.columns if c != text_col]
-    out = map_text(source, "__text", start, f"`{text_col}` {kind}" + (", __length long" if counted else ""), keep)
-    if counted:
-        out = out.withColumn(length_col, F.coalesce(F.col("__length").cast(docs.schema[length_col].dataType), F.col(length_col)))
-    return out.select(docs.columns)
+    return change_rows(docs, text_col, start)

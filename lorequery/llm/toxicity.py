@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorequery.llm.common import map_text
+from lorequery.llm.common import filter_text, map_text
 
 DECAY = 0.6
 #: Pairs of steps between the three characters of a subsequence.
@@ -358,12 +358,15 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text", keep: list[
 
 
 def keep_clean(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
-    """The rows of docs that are not predicted toxic, with their own columns."""
+    """The rows of docs that are not predicted toxic, with their own columns.
+
+    Null and empty texts hold no string and stay, but where a machine calls all texts
+    toxic; repeated rows stay or go together; empty input gives an empty result.
+    """
     start = _starter(docs, machine)
-    source = docs.withColumn("__text", F.col(text_col))
 
-    def flagged():
+    def flags():
         apply = start()
-        return lambda texts: {"__keep": [p == 0 for p in apply(texts)["predicted"]]}
+        return lambda texts: [p == 0 for p in apply(texts)["predicted"]]
 
-    return map_text(source, "__text", flagged, "__keep boolean", docs.columns, where=lambda out: out["__keep"]).select(docs.columns)
+    return filter_text(docs, text_col, flags)

@@ -173,21 +173,74 @@ def test_threshold_keeps_the_recall():
 # --- 3 -------------------------------------------------------------------------
 
 
-def test_language(spark, odd, empty):
+def _gram_bins(text):
+    """The bins of a text's n-grams, one by one, in plain integers."""
+    import unicodedata
+
+    letters = "".join((c.lower() if len(c.lower()) == 1 and ord(c) < 65536 else c) if unicodedata.category(c)[0] == "L" else " " for c in text)
+    kept = "".join(c for i, c in enumerate(letters) if c != " " or (letters[i - 1] if i else " ") != " ")
+    if not kept.strip():
+        return []
+    low, c = (1 << 32) - 1, [32] + [ord(x) for x in kept] + [32]
+    one = [x * 2654435761 & low for x in c]
+    two = [((a ^ (y * 2246822519 & low)) + 0x9E3779B9) & low for a, y in zip(one, c[1:])]
+    three = [(a * 3266489917 & low) ^ (z * 668265263 & low) for a, z in zip(two, c[2:])]
+    return [((x ^ x >> 15) * 2246822519 & low) >> 16 for x in one[1:-1] + two + three]
+
+
+def _bayes(docs, texts):
+    """Multinomial naive Bayes by hand: (language, score) of each text."""
+    from math import exp, log
+
+    counts = {}
+    for text, lang in docs:
+        if _gram_bins(text):
+            counts.setdefault(lang, Counter()).update(_gram_bins(text))
+    total = {k: sum(c.values()) + langid.SMOOTHING * langid.BINS for k, c in counts.items()}
+    out = []
+    for text in texts:
+        bins = _gram_bins(text or "")
+        if not bins:
+            out.append(("und", 0.0))
+            continue
+        mean = {k: sum(log((counts[k][b] + langid.SMOOTHING) / total[k]) for b in bins) / len(bins) for k in sorted(counts)}
+        best = max(mean, key=mean.get)
+        out.append((best, 1 / sum(exp(langid.SHARPNESS * (m - mean[best])) for m in mean.values())))
+    return out
+
+
+def test_language(spark, odd, empty, monkeypatch):
     words = {"en": "the and of with that this", "fr": "les des une être pour dans", "de": "und der nicht über mit ein"}
-    docs = spark.createDataFrame([(i, " ".join(words[k].split()[j % 6] for j in range(i % 5, i % 5 + 9)), k) for i in range(60) for k in words], "doc_id long, text string, lang string")
+    rows = [(i, " ".join(words[k].split()[j % 6] for j in range(i % 5, i % 5 + 9)), k) for i in range(60) for k in words] + [(900, "\U00010400 kōrero te reo", "mi")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.fit(docs, F.col("doc_id") % 3 != 1)
-    rows = langid.identify(docs.filter("doc_id % 3 = 1"), model).collect()
-    assert all(r.lang_pred == r.lang and 0 <= r.score <= 1 for r in rows)
+    held = langid.identify(docs.filter("doc_id % 3 = 1"), model).collect()
+    assert all(r.lang_pred == r.lang and 0 <= r.score <= 1 for r in held)
     got = langid.identify(odd, model, keep=["doc_id"]).collect()
     assert [r.lang_pred for r in got][:3] == ["und"] * 3 and got[-1].lang_pred == "und" and len(got) == len(ODD)
+    texts = [r[1] for r in ODD[:7]] + ["the être über", "ß É x", "te reo \U00010400\U0001F600", "de la und the"]
+    want = _bayes([(t, k) for i, t, k in rows if i % 3 != 1], texts)
+    for cells in (langid.CELLS, 40):
+        monkeypatch.setattr(langid, "CELLS", cells)
+        names, scores = model.predict(langid.Grams(), texts)
+        assert names == [k for k, _ in want] and np.allclose(scores, [x for _, x in want], atol=1e-4)
     kept = langid.keep_identified(odd, model, 0.0)
     assert kept.columns == odd.columns and kept.count() == len(ODD) - 4
     assert langid.identify(empty, langid.fit(empty, F.lit(True))).count() == 0
-    counts, grams = np.zeros((1, langid.BINS)), langid.Grams()
-    for t in ("ab c", "zz"):
-        counts[0] += np.bincount(grams.bins(t), minlength=langid.BINS)
-    assert counts.sum() == len(grams.bins("ab c")) + len(grams.bins("zz"))
+    # a language that is rare keeps all of its texts, however the others are sampled
+    assert "mi" in langid.fit(docs, F.lit(True), max_train=5).names
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.sampled_from(list("ab É\U00010400\U0001F600ßİ1 .")), max_size=40), st.integers(1, 9))
+def test_grams_in_steps(text, step):
+    whole, kept = _gram_bins(text), langid.STEP
+    try:
+        langid.STEP = step
+        bins, counts = langid.Grams().bins(text)
+    finally:
+        langid.STEP = kept
+    assert dict(zip(bins.tolist(), counts.tolist())) == Counter(whole)
 
 
 # --- 4 -------------------------------------------------------------------------
