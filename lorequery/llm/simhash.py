@@ -4,8 +4,9 @@ Fingerprints are linked by tiled exact comparison: exclusive-or and bit counts o
 numpy tiles, skipping tile pairs whose population counts differ by more than the
 radius. Two fingerprints that differ in at most r of n > r blocks of bits agree on
 n - r whole blocks, so only fingerprints that share such a key meet, in sorted runs
-cut into tiles. A key held by very many fingerprints is dealt out over tile pairs, so
-no task ever holds more than two tiles' worth of one key.
+cut into tiles. A key held by very many fingerprints is dealt out by population count
+over pairs of parts; pairs whose population counts differ by more than the radius are
+never formed, and no task ever holds more than two parts of one key.
 """
 
 from __future__ import annotations
@@ -14,16 +15,18 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorequery.llm.common import durable, map_text
+from lorequery.llm.common import durable, map_text, unused
 
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
 #: Rows compared at once, and rows of one key that a task takes before the key is dealt out.
 TILE, KEY_ROWS = 512, 8192
+#: Rows that go, up to which they are broadcast to take them out; beyond, a join does it.
+BROADCAST_ROWS = 500_000
 
 
 def fingerprint_bytes(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -50,14 +53,15 @@ def fingerprint_bytes(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(bits * 2 > len(hashes)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): one row a document; null and blank texts get 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(id, keep, fp): one row a document; null and blank texts get 0."""
 
     def start():
         return lambda texts: {"fp": [fingerprint_bytes(t) for t in texts]}
 
-    source = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("__text"))
-    return map_text(source, "__text", start, "fp long")
+    words = unused(docs, "words")
+    source = docs.select(id_col, *(keep or []), F.col(text_col).cast("binary").alias(words))
+    return map_text(source, words, start, "fp long")
 
 
 def masks(blocks: int, agree: int) -> list[int]:
@@ -129,15 +133,21 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> Da
     keyed = fps.select(
         "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(keys)])).alias("k")
     ).select("fp", "k.*")
-    held = keyed.groupBy("c", "v").agg(F.count("*").alias("n")).filter("n > 1")
+    keyed = keyed.withColumn("pop", F.bit_count("fp"))
+    held = keyed.groupBy("c", "v", "pop").agg(F.count("*").alias("m"))
     half = KEY_ROWS // 2
-    dealt = (
-        keyed.join(held, ["c", "v"])
-        .withColumn("parts", F.when(F.col("n") <= KEY_ROWS, F.lit(1)).otherwise(F.ceil(F.col("n") / half)).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("c", "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
-    )
+    # 64 population counts at most: how many parts those of a popular key have
+    many = F.map_from_entries(F.collect_list(F.struct("pop", F.ceil(F.col("m") / half).cast("int").alias("parts"))))
+    held = held.groupBy("c", "v").agg(F.sum("m").alias("n"), many.alias("parts")).filter("n > 1")
+    held = held.withColumn("parts", F.when(F.col("n") > KEY_ROWS, F.col("parts")))
+    met = keyed.join(held, ["c", "v"])
+    own = F.pmod(F.xxhash64("fp"), F.try_element_at("parts", F.col("pop"))).cast("int")
+    near = F.filter(F.sequence(F.col("pop") - radius, F.col("pop") + radius), lambda p: F.map_contains_key("parts", p))
+    others = F.flatten(F.transform(near, lambda p: F.transform(F.sequence(F.lit(0), F.try_element_at("parts", p) - 1), lambda t: p * (1 << 20) + t)))
+    mine = F.col("pop") * (1 << 20) + own
+    met = met.withColumn("mine", F.when(F.col("parts").isNull(), 0).otherwise(mine))
+    met = met.withColumn("other", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(others)))
+    dealt = met.select("c", "v", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "fp")
     run = (
         dealt.repartition("c", "v", "i", "j")
         .withColumn("key", F.xxhash64("c", "v", "i", "j"))
@@ -195,36 +205,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     share a fingerprint, hence a component. Empty input gives an empty result; other
     columns are ignored.
     """
-    marked = durable(fingerprints(docs, id_col, text_col).toDF("__id", "fp"))
-    distinct = durable(marked.groupBy("fp").agg(F.min("__id").alias("least")))
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    named = _named(durable(fingerprints(source, "id", "text")), radius)
+    return named.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _named(marked: DataFrame, radius: int) -> DataFrame:
+    """(…, root, component_id): rows (id, …, fp) with the least fingerprint and the smallest id of their components."""
+    distinct = durable(marked.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(links(distinct.select("fp"), radius))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     first = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.join(first, "root").select("fp", "component_id")
-    return marked.join(of, "fp").select(
-        F.col("__id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    return marked.join(named.join(first, "root").select("fp", "root", "component_id"), "fp")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of docs that stay: the one with the smallest id of each component.
+    """The rows of docs that stay: the one with the smallest id of each component, with its own columns.
 
-    Rows with the same id as the one that stays go too, but for one. A component whose
-    ids are all null stays whole, as nothing tells its rows apart.
+    Of rows with that id and equal texts one stays. Null and blank texts have a
+    fingerprint and are near copies of each other. A component whose ids are all null
+    stays whole, as nothing tells its rows apart. Empty input gives an empty result.
+    Texts are shuffled only where more rows go than may be broadcast, or to tell equal
+    rows apart.
     """
-    found = near_duplicates(docs.select(id_col, text_col), id_col, text_col, radius)
-    stay = durable(found.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("__n")))
-    kept = docs.join(stay.select(F.col(id_col).alias("__stay")), F.col(id_col) == F.col("__stay"), "left_semi")
-    if not stay.filter("__n > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col])
-    nameless = docs.filter(F.col(id_col).isNull())
-    if not nameless.select(id_col).isEmpty():  # without ids, fingerprints tell whose component has none
-        alone = found.filter(F.col("component_id").isNull()).select(F.col("fingerprint").alias("__fingerprint")).distinct()
-        marked = map_text(nameless.withColumn("__text", F.col(text_col).cast("binary")), "__text", _starter, "__fp long", docs.columns)
-        marked = marked.join(alone, F.lpad(F.lower(F.hex("__fp")), 16, "0") == F.col("__fingerprint"), "left_semi")
-        kept = kept.unionByName(marked.select(docs.columns))
-    return kept
-
-
-def _starter():
-    return lambda texts: {"__fp": [fingerprint_bytes(t) for t in texts]}
+    spot = unused(docs, "spot")
+    marked = docs.withColumn(spot, F.xxhash64(F.col(text_col).cast("string")))  # with its id, a row's name
+    source = marked.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(spot).alias("spot"))
+    found = durable(_named(durable(fingerprints(source, "id", "text", ["spot"])), radius))
+    stays = F.col("id").eqNullSafe(F.col("component_id"))
+    first = Window.partitionBy("id", "root").orderBy("spot")
+    rows = found.groupBy("id", "spot", "root", "component_id").agg(F.count("*").alias("n"))
+    ours = rows.filter(stays).withColumn("nth", F.when(F.col("id").isNull(), 1).otherwise(F.row_number().over(first)))
+    gone = durable(rows.filter(~stays).select("id", "spot").unionByName(ours.filter("nth > 1").select("id", "spot")))
+    twins = durable(ours.filter("nth = 1 AND n > 1 AND id IS NOT NULL").select("id", "spot"))
+    kept = _without(marked, gone, id_col, spot)
+    if not twins.isEmpty():
+        again = F.broadcast(twins) if twins.count() <= BROADCAST_ROWS else twins
+        same = marked[id_col].eqNullSafe(again["id"]) & marked[spot].eqNullSafe(again["spot"])
+        kept = _without(kept, twins, id_col, spot).unionByName(marked.join(again, same, "left_semi").dropDuplicates([id_col, spot]))
+    return kept.select(docs.columns)
+
+
+def _without(rows: DataFrame, gone: DataFrame, id_col: str, spot: str) -> DataFrame:
+    """The rows whose id and spot are not in gone."""
+    gone = gone.select(F.col("id").alias("gone_id"), F.col("spot").alias("gone_spot"))
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return rows.join(gone, rows[id_col].eqNullSafe(gone["gone_id"]) & rows[spot].eqNullSafe(gone["gone_spot"]), "left_anti")

@@ -295,7 +295,7 @@ def _fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def _components(ids, fps):
+def _roots(fps):
     root = {f: f for f in fps}
 
     def find(x):
@@ -307,14 +307,18 @@ def _components(ids, fps):
         for b in root:
             if bin(a ^ b).count("1") <= 3:
                 root[find(a)] = find(b)
-    least = {}
-    for i, f in zip(ids, fps):
+    return [find(f) for f in fps]
+
+
+def _components(ids, fps):
+    least, roots = {}, _roots(fps)
+    for i, r in zip(ids, roots):
         if i is not None:
-            least[find(f)] = min(i, least.get(find(f), i))
-    return [least.get(find(f)) for f in fps]
+            least[r] = min(i, least.get(r, i))
+    return [least.get(r) for r in roots]
 
 
-def test_near_duplicates(spark, odd, empty):
+def test_near_duplicates(spark, odd, empty, monkeypatch):
     r = np.random.default_rng(3)
     rows = [(None if i % 50 == 9 else i, " ".join(r.choice(["a", "B", "cé", "É"], 40)) if i % 3 else "hot copy of one text  x") for i in range(200)]
     base = " ".join(f"w{i}" for i in range(400))
@@ -324,10 +328,16 @@ def test_near_duplicates(spark, odd, empty):
     got = simhash.near_duplicates(docs).collect()
     want = [_fingerprint(t) for _, t in rows]
     assert Counter((x.doc_id, x.fingerprint, x.component_id) for x in got) == Counter((i, f"{f:016x}", c) for (i, _), f, c in zip(rows, want, _components([i for i, _ in rows], want)))
-    kept = simhash.keep_one(docs)
-    stay = [x.doc_id for x in kept.collect()]
-    assert kept.columns == docs.columns and sorted(i for i in stay if i is not None) == sorted({x.component_id for x in got} - {None})
-    assert stay.count(None) == sum(x.component_id is None for x in got)
+    ids = [i for i, _ in rows]
+    groups = {(r, c) for r, c in zip(_roots(want), _components(ids, want))}
+    nameless = sum(c is None for c in _components(ids, want))
+    for limit in (simhash.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(simhash, "BROADCAST_ROWS", limit)
+        kept = simhash.keep_one(docs.withColumn("spot", F.lit("s")).withColumn("gone_id", F.lit("g")))
+        stay = [x.doc_id for x in kept.collect()]
+        assert kept.columns == [*docs.columns, "spot", "gone_id"]
+        assert sorted(i for i in stay if i is not None) == sorted(c for _, c in groups if c is not None) and stay.count(None) == nameless
+    assert simhash.keep_one(empty).count() == 0
     assert simhash.near_duplicates(empty).count() == 0
 
 
@@ -342,6 +352,16 @@ def test_links_over_dealt_keys(spark, monkeypatch):
         assert [root.get(f, f) for f in fps] == _components(fps, fps)
 
 
+def test_dealt_keys_form_no_far_pairs(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "KEY_ROWS", 8)
+    few, many = [0b111 << k for k in range(20)], [((1 << 25) - 1) << k for k in range(20)]  # population counts 3 and 25, one key of upper bits
+    edges = simhash.links(spark.createDataFrame([(f,) for f in few + many], "fp long"), 3, 4)
+    plan = edges._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    root = {x.node: x.root for x in simhash.components(edges).collect()}
+    assert [root.get(f, f) for f in few + many] == _components(few + many, few + many)
+
+
 # --- 6 -------------------------------------------------------------------------
 
 PAGE = (

@@ -36,7 +36,7 @@ def test_pipeline(spark, tmp_path):
     assert set(ids["toxicity"]) - set(ids["language_id"]) == {400, 401}
     before = sorted(ids["language_id"].items())
     roots = _components([i for i, _ in before], [_fingerprint(t) for _, t in before])
-    assert set(ids["near_dedup"]) == set(roots)
+    assert set(ids["near_dedup"]) == set(roots) and docs.select("doc_id").distinct().count() == docs.count()
     assert set(ids["secret_scan"]) == set(ids["near_dedup"]) and not any(secret_scan.base_spans(t) for t in ids["secret_scan"].values())
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
     assert {x.doc_id for x in packed.select("doc_id").collect()} == set(ids["secret_scan"])
