@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorequery.llm.common import filter_text, map_text
+from lorequery.llm.common import filter_text, fitted, hash_share, map_text
 
 DECAY = 0.6
 #: Pairs of steps between the three characters of a subsequence.
@@ -149,7 +149,7 @@ class Landmarks:
         """Nyström features of strings."""
         out = []
         for i in range(0, len(words), 1024):
-            begin, ids, weights, norms = features([w[:LONGEST] for w in words[i : i + 1024]])
+            begin, ids, weights, norms = features(words[i : i + 1024])
             kernel = sum(weights[k] * np.add.reduceat(self.phi[self.column[ids[k]]], begin, axis=0) for k in range(len(STEPS)))
             out.append(((kernel / norms[:, None]) @ self.root).astype(np.float32))
         return np.concatenate(out)
@@ -185,8 +185,8 @@ def _altered(word: str, random: np.random.Generator) -> str:
 
 
 def _bag(text: str) -> set[str]:
-    """The strings of all sentences of a text."""
-    return {_EDGES.sub("", s) for line in re.split(r"\n|(?<=[.!?])\s", text) for s in strings(line)} - {""}
+    """The strings of all sentences of a text, long ones in the parts that they are scored by."""
+    return {_EDGES.sub("", p) for line in re.split(r"\n|(?<=[.!?])\s", text) for s in strings(line) for p in shorten(s)} - {""}
 
 
 def train(texts: list[str], toxic: list[int], seed: int = 0) -> Machine:
@@ -314,23 +314,29 @@ def fit(docs: DataFrame, labels: DataFrame, train_fold: Column, id_col: str = "d
     """Learn from labelled documents for which train_fold holds, a condition on the id.
 
     At most about max_docs documents of either label, chosen by hash of their id, are
-    used, and none over MAX_CHARS characters: a bounded sample, brought to the driver.
-    Ids labelled both ways count as toxic; null labels and ids are left out.
+    used, and none over MAX_CHARS characters: a bounded sample, brought to one task. Ids
+    labelled both ways count as toxic; null labels and ids are left out; of several
+    texts with one id the least counts. Without labels of both kinds all texts get the
+    score of the only one there is, or 0.
     """
-    marked = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & train_fold).groupBy(id_col).agg(F.max(label_col).cast("int").alias("__toxic"))
-    sizes = {r["__toxic"]: r["n"] for r in marked.groupBy("__toxic").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(0)
+    wanted = F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & train_fold
+    marked = labels.filter(wanted).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
+    sizes = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows, or few
+    share = F.lit(False)
     for value, n in sizes.items():
-        share = F.when(F.col("__toxic") == value, F.lit(min(1_000_000, int(1_000_000 * max_docs / n)))).otherwise(share)
-    chosen = marked.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < share)
+        share = share | ((F.col("toxic") == value) & hash_share(F.xxhash64("id"), max_docs, n))
+    chosen = marked.filter(share)
     rows = (
-        docs.select(id_col, F.col(text_col).alias("__text")).filter(F.length("__text") <= MAX_CHARS)
-        .join(F.broadcast(chosen), id_col)  # about 2 * max_docs ids at most
-        .groupBy(id_col).agg(F.min("__text").alias("__text"), F.max("__toxic").alias("__toxic"))
-        .collect()
+        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text") <= MAX_CHARS)
+        .join(F.broadcast(chosen), "id")  # about 2 * max_docs ids at most
+        .groupBy("id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     )
-    rows.sort(key=lambda r: r[id_col])
-    return train([r["__text"] for r in rows], [r["__toxic"] for r in rows])
+
+    def learn(rows: list[dict]) -> Machine:
+        rows.sort(key=lambda r: (str(r["id"]), r["text"]))
+        return train([r["text"] for r in rows], [int(r["toxic"] > 0) for r in rows])
+
+    return fitted(rows, learn) or train([], [])
 
 
 def _starter(docs: DataFrame, machine: Machine):
