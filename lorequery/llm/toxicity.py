@@ -5,13 +5,17 @@ six, each weighted by DECAY to its span; so an insult still matches with a chara
 put in or left out. A Nyström map on landmark strings makes it a linear machine, and as
 the kernel is a dot product of sparse features, machine and landmarks fold into one
 weight per subsequence: scoring a string is a sum of table lookups. A sentence scores
-as its strongest string, a document as its strongest sentence.
+as its strongest string; a document by its strongest sentence, and by how many of its
+strings are above zero.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from heapq import nsmallest
+from math import exp, log
+from operator import mul
 from zlib import crc32
 
 import numpy as np
@@ -25,10 +29,15 @@ DECAY = 0.6
 STEPS = [(a, b) for a in range(1, 5) for b in range(1, 5) if a + b <= 5]
 FEATURES = 1 << 18
 #: Bounds of what the model is fitted on: labelled documents of either kind, their characters, landmarks, negative strings.
-MAX_DOCS, MAX_CHARS, LANDMARKS, NEGATIVES = 2000, 20_000, 192, 16_000
+MAX_DOCS, MAX_CHARS, LANDMARKS, NEGATIVES = 2000, 20_000, 384, 16_000
 #: Strings whose score a task remembers; the longest string read as one (longer ones are read in overlapping parts).
 CACHE, LONGEST = 400_000, 64
 THRESHOLD = 0.7
+#: Telling strings stand in so many times as large a share of toxic documents as of clean ones; so many are taken, above the
+#: least log-likelihood, where labels are too few for any to be beyond chance.
+TELLING, BEST, CHANCE = 4.0, 20, 4.0
+#: Weight of all negative strings together, over that of all positive ones.
+OVERWEIGHT = 8.0
 
 
 def _alphabet() -> np.ndarray:
@@ -108,8 +117,8 @@ def shorten(word: str) -> list[str]:
 class Machine:
     """Folded weights with the offset and the calibration of document scores."""
 
-    def __init__(self, table: np.ndarray, offset: float, slope: float, shift: float):
-        self.table, self.offset, self.slope, self.shift = table, offset, slope, shift
+    def __init__(self, table: np.ndarray, offset: float, calibration: tuple[float, ...]):
+        self.table, self.offset, self.calibration = table, offset, calibration
 
     def margins(self, words: list[str]) -> np.ndarray:
         """Decision values of strings; a long one has that of its strongest part."""
@@ -122,8 +131,15 @@ class Machine:
         counts = np.fromiter(map(len, parts), np.int64, len(parts))
         return np.maximum.reduceat(sums / norms, np.cumsum(counts) - counts) + self.offset
 
-    def probability(self, margin: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -50, 50))))
+    @staticmethod
+    def summary(margins: list[float]) -> tuple[float, ...]:
+        """A document's measures: its largest margin, if above zero, how many of its different strings are above zero, and how few it has besides, and a constant; all 0 where none is."""
+        hits = sum(m > 0 for m in margins)
+        return (max(margins), log(1.0 + hits), max(0.0, 10.0 - log(len(margins) + 20.0)), 1.0) if hits else (0.0, 0.0, 0.0, 0.0)
+
+    def probability(self, margins: list[float]) -> float:
+        *weights, shift = self.calibration
+        return 1 / (1 + exp(-min(50.0, max(-50.0, sum(map(mul, weights, self.summary(margins))) + shift))))
 
 
 class Landmarks:
@@ -161,7 +177,7 @@ class Landmarks:
         return table
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, steps: int = 250) -> tuple[np.ndarray, float]:
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 30.0, steps: int = 250) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss, by accelerated gradient steps."""
     x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     cw = c * weight
@@ -184,112 +200,136 @@ def _altered(word: str, random: np.random.Generator) -> str:
     return word[:i] + "*-._"[int(random.integers(0, 4))] + word[i:] if kind == 0 else word[:i] + word[i - 1] + word[i:] if kind == 1 else word[:i] + "." + word[i + 1 :]
 
 
-def _bag(text: str) -> set[str]:
-    """The strings of all sentences of a text, long ones in the parts that they are scored by."""
-    return {_EDGES.sub("", p) for line in re.split(r"\n|(?<=[.!?])\s", text) for s in strings(line) for p in shorten(s)} - {""}
+def _bag(text: str) -> Counter:
+    """The strings of all sentences of a text with how many sentences hold each, long ones in the parts that they are scored by."""
+    out: Counter = Counter()
+    for line in re.split(r"\n|(?<=[.!?])\s", text):
+        out.update({_EDGES.sub("", p) for s in strings(line) for p in shorten(s)} - {""})
+    return out
 
 
-def train(texts: list[str], toxic: list[int], seed: int = 0) -> Machine:
-    """Fit on labelled documents; without both labels a machine that scores all 0.
+def _heads(s: str) -> list[str]:
+    """A string and its beginnings, as endings vary."""
+    return [s, *(s[:k] for k in range(4, min(len(s) - 1, 8) + 1))]
 
-    Strings of clean documents are negative. Of each toxic document its strongest
-    string is positive, first by odds, then by the machine itself (four rounds), and
-    so are strings that several toxic documents and hardly any clean ones hold; altered
-    copies of the positives, and of as many negatives, stand beside them. The
-    scores of a held-back fifth calibrate the probabilities.
+
+def train(texts: list[str], toxic: list[int], seed: int = 0) -> Machine:
+    """Fit on labelled documents; without both labels a machine that scores all 0, or 1 where all are toxic.
+
+    Labels are of documents, so the strings to learn from are found first: those that,
+    by themselves or by their beginnings, stand in TELLING times as large a share of
+    toxic documents as of clean ones, and beyond what chance makes of so many strings,
+    are positive, and the strings of clean documents are negative, each with the weight
+    of its frequency; altered copies stand beside the positives and as many negatives. Toxic documents without a telling string teach
+    nothing. The clean strings nearest to the positives join the negatives in a second
+    round. Then documents calibrate the probability, by their strongest string, by how
+    many are above zero and how many there are: a held-back fifth, or all where that
+    holds too few of either label.
     """
     if not any(toxic) or all(toxic):
-        return Machine(np.zeros(FEATURES, np.float32), -1.0, 1.0, -50.0 if not any(toxic) else 50.0)
+        return Machine(np.zeros(FEATURES, np.float32), -1.0, (0.0, 0.0, 0.0, 0.0, -50.0 if not any(toxic) else 50.0))
     random = np.random.default_rng(seed)
     pool: dict[str, str] = {}  # each string once in memory
-    bags = [sorted({pool.setdefault(s, s) for s in _bag(t)}) for t in texts]
+    bags = [{pool.setdefault(s, s): n for s, n in sorted(_bag(t).items())} for t in texts]
     y = np.array(toxic)
     held = np.zeros(len(y), bool)
     held[::5] = True
     if min(y[held].sum(), (1 - y[held]).sum()) < 40:  # too few to hold any back: all calibrate
         held[:] = False
     own = [i for i in np.nonzero(~held)[0] if bags[i]]
-    # of near copies, which share the least hash of their strings, only one counts
-    own = list({(min(crc32(s.encode()) for s in bags[i]), int(y[i])): i for i in own[::-1]}.values())[::-1]
-    bad, good = Counter(), Counter()
+    # of near copies, which share the least four hashes of their strings, only one counts
+    own = list({(*nsmallest(4, (crc32(s.encode()) for s in bags[i])), int(y[i])): i for i in own[::-1]}.values())[::-1]
+    bad, good = Counter(), Counter()  # how often strings occur under either label
+    with_bad, with_good = Counter(), Counter()  # documents with a head
     for i in own:
         (bad if y[i] else good).update(bags[i])
-    n_bad, n_good = max(1, sum(y[i] for i in own)), max(1, sum(1 - y[i] for i in own))
-
-    # strings are also judged by their beginnings, as endings vary
-    heads = lambda s: [s[:k] for k in range(4, min(len(s), 8) + 1)]
-    bad_head, good_head = Counter(), Counter()
-    for i in own:
         if y[i]:
-            bad_head.update({h for s in bags[i] for h in heads(s)})
-    bad_head = Counter({h: n for h, n in bad_head.items() if n > 1})
+            with_bad.update({h for s in bags[i] for h in _heads(s)})
     for i in own:
         if not y[i]:
-            good_head.update({h for s in bags[i] for h in heads(s) if h in bad_head})
-
-    def odds(s):
-        ways = [(bad[s], good[s])] + [(bad_head[h], good_head[h]) for h in heads(s) if h in bad_head]
-        return max(np.log((b + 0.02) / n_bad) - np.log((g + 0.5) / n_good) + 0.3 * np.log1p(b) for b, g in ways)
-
-    score = {s: odds(s) for s in bad}
-    witness = {i: max(bags[i], key=lambda s: (score[s], s)) for i in own if y[i]}
-    # strings that several toxic documents share stand out beside the strongest ones
-    shared = {s for s in bad if bad[s] >= max(3, 0.02 * n_bad) and bad[s] / n_bad > 20 * (good[s] + 0.5) / n_good}
-    names = sorted({*witness.values(), *shared}, key=lambda s: (-score[s], s))
-    frequent = [s for s, _ in sorted(good.items(), key=lambda x: (-x[1], x[0])) if len(s) > 3]
-    landmarks = names[: LANDMARKS // 2] + frequent[: LANDMARKS - min(len(names), LANDMARKS // 2)]
-    landmarks = Landmarks(landmarks)
-    negatives = sorted(good)
-    if len(negatives) > NEGATIVES:
-        near = sorted(negatives, key=lambda s: -odds(s))[: NEGATIVES // 4]
-        rest = random.permutation(len(negatives))[: NEGATIVES - len(near)]
-        negatives = sorted({*near, *(negatives[i] for i in rest)})
-    table, offset, taken = None, 0.0, set(negatives)
-    mapped = landmarks.map(negatives)
-    for _ in range(4):
-        positives = sorted({*witness.values(), *shared})
-        positives = [s for s in positives if not good[s] or (bad[s] >= 3 and bad[s] / n_bad > 50 * good[s] / n_good)]
-        more = [_altered(s, random) for s in positives for _ in range(2) if len(s) > 3]
-        wrong = [_altered(s, random) for s in (negatives[i] for i in random.permutation(len(negatives))[: 2 * len(more)]) if len(s) > 3]
-        x = np.concatenate([mapped, landmarks.map(wrong), landmarks.map(positives + more)]) if wrong and positives else mapped
-        if len(x) == len(mapped):
-            break
-        label = np.r_[-np.ones(len(mapped) + len(wrong)), np.ones(len(positives) + len(more))]
-        weight = np.where(label > 0, 0.5 * len(label) / max(1, (label > 0).sum()), 0.5 * len(label) / max(1, (label < 0).sum())) / len(label) * 100
+            with_good.update({h for s in bags[i] for h in _heads(s) if h in with_bad})
+    share = sum(y[i] for i in own) / len(own)
+    sure = np.log(max(2, len(with_bad))) + 1  # so many heads are tried that chance alone gives some of them nearly this
+
+    def tells(h):
+        """How far a head's share of toxic documents is beyond chance, as a log-likelihood; 0 where it is not."""
+        b = with_bad[h]
+        by_chance = share * (b + with_good[h])
+        return b * np.log(b / by_chance) - (b - by_chance) if b > by_chance else 0.0
+
+    far = {h: x for h in with_bad if (x := tells(h)) > CHANCE}
+    # a few labels leave nothing beyond chance: then the best few strings
+    sure = min([sure, *sorted(far.values())[-BEST:][:1]])
+    strong = {h: x for h, x in far.items() if x >= sure and with_bad[h] >= TELLING * share / (1 - share) * with_good[h]}
+    score = {s: x for s in bad if len(s) > 2 and (x := max((strong.get(h, 0.0) for h in _heads(s)), default=0.0))}
+    n_bad, n_good = max(1, sum(bad.values())), max(1, sum(good.values()))
+    telling = set(score)
+    odds = lambda s: max((strong.get(h, 0.0) for h in _heads(s)), default=0.0)
+    names = sorted(telling, key=lambda s: (-bad[s] * score[s] / (1 + good[s]), s))
+    if not names:
+        return Machine(np.zeros(FEATURES, np.float32), -1.0, (0.0, 0.0, 0.0, 0.0, float(np.log(y.mean() / (1 - y.mean())))))
+    spread, of_head = [], Counter()  # landmarks of many beginnings
+    for s in names:
+        of_head[s[:5]] += 1
+        if of_head[s[:5]] <= 6:
+            spread.append(s)
+    frequent = [s for s, _ in sorted(good.items(), key=lambda x: (-x[1], x[0])) if len(s) > 3 and s not in telling]
+    chosen = spread[: LANDMARKS // 2]
+    landmarks = Landmarks(chosen + frequent[: LANDMARKS - len(chosen)])
+    positives = names[: NEGATIVES // 4]
+    near = sorted((s for s in good if odds(s)), key=lambda s: (-odds(s), s))[: NEGATIVES // 4]
+    rest = sorted(good.keys() - set(near))
+    negatives = near + [rest[i] for i in sorted(random.permutation(len(rest))[: NEGATIVES - len(near)])]
+    more = [_altered(s, random) for s in positives[:500] for _ in range(2) if len(s) > 3]
+    wrong = [_altered(s, random) for s in (negatives[i] for i in random.permutation(len(negatives))[: 2 * len(more)]) if len(s) > 3]
+    mapped, taken = landmarks.map(negatives), set(negatives)
+    pos = np.concatenate([landmarks.map(positives), landmarks.map(more)]) if more else landmarks.map(positives)
+    off = landmarks.map(wrong) if wrong else pos[:0]
+    pos_weight = np.array([bad[s] / n_bad * n_good for s in positives] + [max(1.0, 0.5 * bad[s] / n_bad * n_good) for s in positives[:500] for _ in range(2) if len(s) > 3])
+    machine = None
+    for last in (False, True):
+        x = np.concatenate([mapped, off, pos])
+        label = np.r_[-np.ones(len(mapped) + len(off)), np.ones(len(pos))]
+        weight = np.r_[np.sqrt([good[s] for s in negatives]), np.ones(len(off)), np.sqrt(pos_weight)]
+        for value, total in ((-1, OVERWEIGHT * 50), (1, 50)):  # a document has many clean strings, and the strongest counts
+            weight[label == value] *= total / weight[label == value].sum()
         w, offset = _svm(x, label, weight)
-        table = landmarks.fold(w)
-        machine = Machine(table, offset, 1.0, 0.0)
+        machine = Machine(landmarks.fold(w), offset, (1.0, 0.0, 0.0, 0.0, 0.0))
+        if last:
+            break
         # the clean strings that it takes for insults join the negatives
-        clean = [s for s in good if s not in positives]
+        clean = [s for s in good if s not in taken]
         value = machine.margins(clean)
         hard = [clean[i] for i in np.argsort(-value, kind="stable")[: NEGATIVES // 4] if value[i] > -0.9]
-        hard = [s for s in hard if s not in taken]
-        if hard:
-            taken.update(hard)
-            mapped = np.concatenate([mapped, landmarks.map(hard)])
-        value = dict(zip(bad, machine.margins(list(bad))))
-        witness = {i: max(bags[i], key=lambda s: (value[s], s)) for i in witness}
-    if table is None:
-        return Machine(np.zeros(FEATURES, np.float32), -1.0, 1.0, -50.0)
-    rows = [i for i in (np.nonzero(held)[0] if held.any() else own)]
-    tops = np.array([machine.margins(bags[i]).max() if bags[i] else -2.0 for i in rows])
-    slope, shift = _calibrate(tops, y[rows])
-    return Machine(table, offset, slope, shift)
-
-
-def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic slope and shift, by Newton steps on smoothed targets; the slope stays positive."""
+        if not hard:
+            break
+        negatives, mapped = negatives + hard, np.concatenate([mapped, landmarks.map(hard)])
+    rows = np.nonzero(held)[0] if held.any() else np.array(own)
+    known = sorted(set().union(*(bags[i] for i in rows)))
+    value = dict(zip(known, machine.margins(known).tolist()))
+    machine.calibration = _calibrate(np.array([machine.summary([value[s] for s in bags[i]]) for i in rows]), y[rows])
+    return machine
+
+
+def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """Logistic weights of documents' measures and a shift, by Newton steps on smoothed targets; none but the constant's weight is negative."""
     target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -50, 50)))
-        d, h = p - target, np.maximum(p * (1 - p), 1e-6)
-        g = np.array([(d * x).sum() + 1e-3 * a, d.sum()])
-        hess = np.array([[(h * x * x).sum() + 1e-3, (h * x).sum()], [(h * x).sum(), h.sum() + 1e-3]])
-        step = np.linalg.solve(hess, g)
-        step *= min(1.0, 5 / max(1e-9, np.abs(step).max()))
-        a, b = a - step[0], b - step[1]
-    return max(float(a), 0.1), float(b)
+    used = list(range(x.shape[1]))
+    while True:
+        z = np.column_stack([x[:, used], np.ones(len(x))])
+        w, ridge = np.zeros(z.shape[1]), np.r_[np.full(len(used), 0.05), 1e-3]
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -50, 50)))
+            hess = (z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z + np.diag(ridge)
+            step = np.linalg.solve(hess, z.T @ (p - target) + ridge * w)
+            w = w - step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
+        real = [i for i, k in enumerate(used) if k < x.shape[1] - 1]
+        least = min(real, key=lambda i: w[i], default=0)
+        if not real or w[least] >= 0:
+            out = np.zeros(x.shape[1] + 1)
+            out[[*used, -1]] = w
+            return tuple(out.tolist())
+        used.pop(least)
 
 
 class Scorer:
@@ -307,7 +347,7 @@ class Scorer:
         for i in range(0, len(fresh), 20_000):
             self.known.update(zip(fresh[i : i + 20_000], self.machine.margins(fresh[i : i + 20_000]).tolist()))
         get = self.known.__getitem__
-        return [self.machine.probability(max(map(get, bag), default=-2.0)) for bag in bags]
+        return [self.machine.probability([*map(get, bag)]) for bag in bags]
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_fold: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = MAX_DOCS) -> Machine:
