@@ -3,8 +3,10 @@
 The distinct words of a batch are merged together: each has a segment tree whose
 leaves are the ranks of its adjacent pairs. The root holds the least rank with the
 leftmost place; a merge updates the few leaves it touches, each with one path of
-logarithmic length, until no root holds a rank. Words are kept with their ids from
-batch to batch, within a bound.
+logarithmic length, until no root holds a rank. As long as many words go on, each step
+is one numpy operation for all of them; the few that still have merges then, long ones
+above all, go on one by one in plain numbers. Words are kept with their ids from batch
+to batch, within a bound of characters.
 """
 
 from __future__ import annotations
@@ -16,8 +18,10 @@ from hashlib import sha256
 
 import numpy as np
 
-#: Chunks of text and words that a task remembers; cells of all trees that grow at once.
-CACHE, CELLS = 250_000, 1 << 21
+#: Characters of the chunks that a task remembers; longest chunk that it does; cells of all trees that grow at once.
+CACHE, REMEMBERED, CELLS = 2_000_000, 100, 1 << 21
+#: Words that still have merges, below which they go on one by one.
+FEW = 24
 NONE = np.int64(1) << 62
 
 
@@ -32,6 +36,13 @@ class PairTable:
         self.rank, self.result = values[order, 0], values[order, 1]
         if not pairs:
             self.keys[:] = -1
+        self._by_key: dict[int, tuple[int, int]] | None = None
+
+    def dictionary(self) -> dict[int, tuple[int, int]]:
+        """left << 32 | right to (rank, result), for single pairs."""
+        if self._by_key is None:
+            self._by_key = dict(zip(self.keys.tolist(), zip(self.rank.tolist(), self.result.tolist())))
+        return self._by_key
 
     def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of each pair, NONE where there is no merge, and its place in the table."""
@@ -96,7 +107,10 @@ def _merge(ids: np.ndarray, size: int, pairs: PairTable) -> None:
     while True:
         root = tree[rows * (2 * size) + 1]
         rows = rows[root < NONE]
-        if not len(rows):
+        if len(rows) < FEW:
+            for row in rows.tolist():
+                at = slice(row * width, row * width + width)
+                ids[at] = _merge_one(ids[at], after[at], before[at], tree[row * 2 * size : (row + 1) * 2 * size], size, pairs.dictionary())
             break
         base, left = rows * width, root[root < NONE] % size
         right = after[base + left]
@@ -114,6 +128,43 @@ def _merge(ids: np.ndarray, size: int, pairs: PairTable) -> None:
             update(rows[has], prior[has], leaf_value(base[has], prior[has], left[has]))
 
 
+def _merge_one(ids: np.ndarray, after: np.ndarray, before: np.ndarray, tree: np.ndarray, size: int, known: dict[int, tuple[int, int]]) -> list[int]:
+    """Merge one word to the end, from where its links and tree stand."""
+    ids, after, before, tree, none = ids.tolist(), after.tolist(), before.tolist(), tree.tolist(), int(NONE)
+    get = known.get
+
+    def update(leaf: int, value: int) -> None:
+        node = leaf + size
+        tree[node] = value
+        node >>= 1
+        while node:
+            a, b = tree[2 * node], tree[2 * node + 1]
+            least = a if a <= b else b
+            if tree[node] == least:  # nothing changes further up
+                break
+            tree[node] = least
+            node >>= 1
+
+    def value(left: int, right: int) -> int:
+        found = get(ids[left] << 32 | ids[right]) if right < size and ids[right] >= 0 else None
+        return found[0] * size + left if found else none
+
+    while tree[1] < none:
+        left = tree[1] % size
+        right = after[left]
+        ids[left] = get(ids[left] << 32 | ids[right])[1]
+        ids[right] = -1
+        beyond = after[right]
+        after[left] = beyond
+        before[beyond] = left
+        update(right, none)
+        update(left, value(left, beyond))
+        prior = before[left]
+        if prior >= 0:
+            update(prior, value(prior, left))
+    return ids
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in byte-level vocabularies: itself if printable, else one from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -152,6 +203,7 @@ class WordBpe:
         self.chunks: dict[str, bytes] = {"": b""}
         self.decoded: dict[str, str] = {"": ""}
         self.words: dict[bytes, tuple[bytes, str]] = {}
+        self.held = 0  # characters of the chunks
 
     def _split(self, chunk: str) -> list[bytes]:
         """The words of a chunk, in UTF-8."""
@@ -177,7 +229,10 @@ class WordBpe:
         ids[ends - 1] = self.final[flat[ends - 1]]
         ids, left = merge_all(ids, lengths, self.pairs)
         raw, token, begin = ids.astype("<u4").tobytes(), [self.token[i] for i in ids.tolist()], 0
+        long = []
         for word, n in zip(fresh, left.tolist()):
+            if len(word) > REMEMBERED:
+                long.append(word)
             words[word] = raw[4 * begin : 4 * (begin + n)], " ".join(token[begin : begin + n])
             begin += n
         for word, i in self.special.items():
@@ -188,6 +243,8 @@ class WordBpe:
             else:
                 found = [words[w] for w in ws]
                 self.chunks[chunk], self.decoded[chunk] = b"".join([i for i, _ in found]), " ".join([s for _, s in found])
+        for word in long:
+            del words[word]
 
     def decode(self, ids: Iterable[int]) -> str:
         """As a tokenizer without decoder: tokens joined by a space; unknown ids are left out."""
@@ -198,13 +255,21 @@ class WordBpe:
         """Ids, as little-endian unsigned 32-bit bytes, and the decoded text of each text; null is empty."""
         split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         used = set().union(*split)
-        if len(self.chunks) > CACHE:  # keep what this batch uses: frequent chunks are among it
+        if self.held > CACHE:  # keep what this batch uses: frequent chunks are among it
             self.chunks = {"": b""} | {c: self.chunks[c] for c in used & self.chunks.keys()}
             self.decoded = {c: self.decoded[c] for c in self.chunks}
             self.words.clear()
-        self.learn(used - self.chunks.keys())
+            self.held = sum(map(len, self.chunks))
+        fresh = used - self.chunks.keys()
+        self.learn(fresh)
         ids, decoded = self.chunks.__getitem__, self.decoded.__getitem__
-        return [(b"".join(map(ids, chunks)), " ".join(filter(None, map(decoded, chunks)))) for chunks in split]
+        out = [(b"".join(map(ids, chunks)), " ".join(filter(None, map(decoded, chunks)))) for chunks in split]
+        for chunk in fresh:
+            if len(chunk) > REMEMBERED:
+                del self.chunks[chunk], self.decoded[chunk]
+            else:
+                self.held += len(chunk)
+        return out
 
 
 def encode_documents(docs, path: str, id_col: str = "doc_id", text_col: str = "text"):

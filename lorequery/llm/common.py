@@ -24,12 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """Write df to the cluster's shared checkpoint folder and read it back, cutting the lineage.
 
-    The folder is the one in spark.checkpoint.dir; only where none is set (tests, a
-    laptop) a local one is made.
+    The folder is the one in spark.checkpoint.dir. Only on a local master, where driver
+    and executors are one machine, a folder of its own is made if none is set.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
