@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lorequery.functions import match as M
 from lorequery.functions import text as T
 from lorequery.functions.lexicon import ABSTRACTS, MEDIA_SUFFIXES, SOFT_CAP
+from lorequery.sources.corpus import settle
 
 LOOKUP_TERMS = 3
 
@@ -101,10 +102,13 @@ def with_abstracts(candidates: DataFrame, abstracts: DataFrame, first: int = ABS
 
 
 def candidates(understood: DataFrame, articles: DataFrame, index: DataFrame) -> DataFrame:
-    """(q_id, pos, article_id, title, url, keywords, phrases, depth): all retrieval steps in order."""
+    """(q_id, pos, article_id, title, url, keywords, phrases, depth): all retrieval steps in order.
+
+    What several steps read, a few rows a question, is settled, so that it is searched once.
+    """
     terms = explode_terms(understood)
-    found = soft_cap(first_wins(search(terms, index)))
-    media = media_lookup(terms, articles, found)
+    found = settle(soft_cap(first_wins(search(terms, index))))
+    media = settle(media_lookup(terms, articles, found))
     direct = direct_lookup(terms, articles, found.select("q_id", "title").unionByName(media.select("q_id", "title")))
     listed = merge(found, media, direct)
     return prioritise(listed.join(understood.select("q_id", "keywords", "phrases", "depth"), "q_id"))

@@ -98,21 +98,21 @@ def word_split_clean(spark, d):
     return rows.select("q_id", "pos", T.strip_edges(F.col("word")).alias("word"))
 
 
-_WORDS_EN = "SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')) AS w FROM documents WHERE lang = 'en'"
+_WORDS = "SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')) AS w FROM documents"
 
 
-@query(f"SELECT doc_id, count(*) AS n, count(DISTINCT w) AS n_distinct FROM ({_WORDS_EN}) WHERE regexp_matches(w, '^\\p{{Lu}}') GROUP BY doc_id")
+@query(f"SELECT doc_id, count(*) AS n, count(DISTINCT w) AS n_distinct FROM ({_WORDS}) WHERE regexp_matches(w, '^\\p{{Lu}}') GROUP BY doc_id")
 def capitalised_words(spark, d):
-    words = corpus.table(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.explode(T.words(F.col("text"))).alias("w"))
+    words = corpus.table(spark, d, "documents").select("doc_id", F.explode(T.words(F.col("text"))).alias("w"))
     return words.filter(T.is_capitalised(F.col("w"))).groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("w").alias("n_distinct"))
 
 
 @query(
-    f"SELECT w AS word, count(*) AS n FROM ({_WORDS_EN}) WHERE regexp_matches(w, '\\p{{Lu}}') AND NOT regexp_matches(w, '[\\p{{Ll}}\\p{{Lt}}]') "
+    f"SELECT w AS word, count(*) AS n FROM ({_WORDS}) WHERE regexp_matches(w, '\\p{{Lu}}') AND NOT regexp_matches(w, '[\\p{{Ll}}\\p{{Lt}}]') "
     "AND length(w) BETWEEN 2 AND 5 GROUP BY w"
 )
 def acronym_words(spark, d):
-    words = corpus.table(spark, d, "documents").filter("lang = 'en'").select(F.explode(T.words(F.col("text"))).alias("word"))
+    words = corpus.table(spark, d, "documents").select(F.explode(T.words(F.col("text"))).alias("word"))
     return words.filter(T.is_acronym(F.col("word"))).groupBy("word").agg(F.count("*").alias("n"))
 
 
@@ -159,8 +159,54 @@ def extract_integers(spark, d):
 # --- understanding ------------------------------------------------------------
 
 
-def _golden(of: dict, name: str) -> str:
-    return f"SELECT q_id, pos, {name} FROM {X.sql(X.listed(of), f'q_id, pos, {name}')}"
+#: The literal questions beside those of the benchmark, whose numbers stay below the literal ones.
+LITERAL = 1_000_000
+_ASKED = f"SELECT q_id + {LITERAL} AS q_id, question FROM {X.sql(X.QUESTIONS, 'q_id, question')} UNION ALL {_BENCH}"
+
+
+def _asked(spark, d):
+    literal = _questions(spark).select((F.col("q_id") + LITERAL).cast("long").alias("q_id"), "question")
+    return literal.unionByName(_bench(spark, d))
+
+
+def _once(x: str) -> str:
+    return f"list_filter({x}, lambda x, i: list_position({x}, x) = i)"
+
+
+def _capital(x: str) -> str:
+    return f"CASE WHEN starts_with({x}, 'ß') THEN 'Ss' ELSE upper(substring({x}, 1, 1)) END || substring({x}, 2)"
+
+
+_SPLIT = "list_filter(regexp_split_to_array({}, '\\s+'), lambda w: w <> '')"
+_PAIR = "CASE WHEN len(content) > {0} AND content[{0}] NOT IN {skip} AND content[{0} + 1] NOT IN {skip} THEN {cap} || ' ' || content[{0} + 1] END"
+_FIT = f"length(w) >= 3 AND w NOT IN {_in(BLACKLIST)}"
+#: Question understanding over (q_id, question) as a chain of tables that ends in u (q_id, question, terms, keywords, phrases, depth).
+_UNDERSTOOD = f"""WITH src AS ({_ASKED}),
+w AS (SELECT q_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT q_id, {_SPLIT.format("translate(question, '?,.', '')")} AS ws FROM src)),
+caps AS (SELECT *, i - row_number() OVER (PARTITION BY q_id ORDER BY i) AS run FROM w WHERE regexp_matches(w, '^\\p{{Lu}}')),
+begun AS (SELECT *, sum(CASE WHEN lower(w) IN {_in(STOPWORDS)} THEN 0 ELSE 1 END) OVER (PARTITION BY q_id, run ORDER BY i) AS n FROM caps),
+runs AS (SELECT q_id, run, min(i) AS first, string_agg(w, ' ' ORDER BY i) AS phrase FROM begun WHERE n > 0 GROUP BY q_id, run),
+n AS (SELECT q_id, list(phrase ORDER BY first) AS nouns FROM runs GROUP BY q_id),
+b AS (SELECT src.q_id, question, coalesce(nouns, []) AS nouns,
+    list_filter(list_transform(regexp_extract_all(question, '["'']([^"'']+)["'']', 1), lambda x: trim(x)), lambda x: length(x) > 2) AS quoted,
+    list_transform(list_filter({_SPLIT.format("translate(lower(question), '?,.', '')")}, lambda w: length(w) > 3 AND trim(w, '?.,!:;''"') NOT IN {_in(STOPWORDS)}), lambda w: trim(w, '?.,!:;''"')) AS content
+  FROM src LEFT JOIN n ON n.q_id = src.q_id),
+t0 AS (SELECT *, list_filter(list_transform(list_filter(content[1:5], lambda w: w NOT IN {_in(SKIP_WORDS)} AND length(w) >= 4), lambda w: {_capital("w")}), lambda w: NOT list_contains(nouns, w)) AS singles,
+    list_filter([{_PAIR.format(1, skip=_in(SKIP_WORDS), cap=_capital("content[1]"))}, {_PAIR.format(2, skip=_in(SKIP_WORDS), cap=_capital("content[2]"))}], lambda x: x IS NOT NULL) AS pairs FROM b),
+t1 AS (SELECT *, list_concat(nouns[1:3], singles, pairs) AS more FROM t0),
+t2 AS (SELECT *, list_concat(quoted, list_filter(more, lambda x, i: NOT list_contains(quoted, x) AND list_position(more, x) = i)) AS found FROM t1),
+t3 AS (SELECT q_id, question, CASE WHEN len(found) > 0 THEN found[1:5] ELSE [question] END AS terms, regexp_extract_all(lower(question), '[a-z0-9'']+') AS raw FROM t2),
+k0 AS (SELECT *, list_concat(list_filter(raw, lambda w: {_FIT}), list_filter(flatten(list_transform(terms, lambda t: regexp_split_to_array(lower(t), '[\\s\\-_/()]+'))), lambda w: {_FIT})) AS every FROM t3),
+k1 AS (SELECT *, {_once("every")} AS base FROM k0),
+k2 AS (SELECT *, list_concat(base, list_transform(range(1, len(base)), lambda i: base[i] || ' ' || base[i + 1])) AS both_ FROM k1),
+k3 AS (SELECT *, CASE WHEN len(both_) > 0 THEN ({_once("both_")})[1:6] ELSE list_filter(raw, lambda w: length(w) >= 4)[1:1] END AS keywords,
+    list_filter(list_transform(list_concat(list_transform(regexp_extract_all(question, '"[^"]+"|' || chr(39) || '[^' || chr(39) || ']+' || chr(39)), lambda x: substring(x, 2, length(x) - 2)),
+      list_filter(terms, lambda t: contains(t, ' '))), lambda t: trim(t)), lambda t: len(regexp_extract_all(lower(t), '[a-z0-9]+')) >= 2) AS spans FROM k2),
+u AS (SELECT q_id, question, terms, keywords, ({_once("spans")})[1:4] AS phrases, {_depth_sql("question")}::INT AS depth FROM k3)"""
+
+
+def _listed(column: str, name: str) -> str:
+    return f"{_UNDERSTOOD} SELECT q_id, generate_subscripts({column}, 1)::INT - 1 AS pos, unnest({column}) AS {name} FROM u"
 
 
 @query(
@@ -194,24 +240,24 @@ def content_words(spark, d):
     return _bench(spark, d).select("q_id", F.posexplode(U.content_words(F.col("question"))).alias("pos", "word"))
 
 
-@query(_golden(X.TERMS, "term"))
+@query(_listed("terms", "term"))
 def search_terms(spark, d):
-    return _questions(spark).select("q_id", F.posexplode(U.search_terms(F.col("question"))).alias("pos", "term"))
+    return _asked(spark, d).select("q_id", F.posexplode(U.search_terms(F.col("question"))).alias("pos", "term"))
 
 
-@query(_golden(X.KEYWORDS, "keyword"))
+@query(_listed("keywords", "keyword"))
 def primary_keywords(spark, d):
-    return _questions(spark).select("q_id", F.posexplode(U.primary_keywords(F.col("question"))).alias("pos", "keyword"))
+    return _asked(spark, d).select("q_id", F.posexplode(U.primary_keywords(F.col("question"))).alias("pos", "keyword"))
 
 
-@query(_golden(X.PHRASES, "phrase"))
+@query(_listed("phrases", "phrase"))
 def focus_phrases(spark, d):
-    return _questions(spark).select("q_id", F.posexplode(U.focus_phrases(F.col("question"))).alias("pos", "phrase"))
+    return _asked(spark, d).select("q_id", F.posexplode(U.focus_phrases(F.col("question"))).alias("pos", "phrase"))
 
 
-@query(f"SELECT q_id, depth FROM {X.sql(list(X.DEPTH.items()), 'q_id, depth')}")
+@query(_UNDERSTOOD + " SELECT q_id, depth FROM u")
 def question_depth(spark, d):
-    return _questions(spark).select("q_id", U.depth(F.col("question")).alias("depth"))
+    return _asked(spark, d).select("q_id", U.depth(F.col("question")).alias("depth"))
 
 
 @query()
@@ -282,11 +328,11 @@ def phrase_subsequence(spark, d):
 
 
 @query(
-    f"WITH k AS ({_KW}), a AS (SELECT doc_id, lower(substring(text, 1, 500)) AS a FROM documents WHERE lang = 'en') "
+    f"WITH k AS ({_KW}), a AS (SELECT doc_id, lower(substring(text, 1, 500)) AS a FROM documents) "
     "SELECT q_id, count(*) AS n_hits FROM k CROSS JOIN a WHERE len(list_filter(kws, lambda w: contains(a, w))) > 0 GROUP BY q_id"
 )
 def abstract_keyword_hit(spark, d):
-    low = corpus.table(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.lower(T.truncate(F.col("text"))).alias("a"))
+    low = corpus.table(spark, d, "documents").select("doc_id", F.lower(T.truncate(F.col("text"))).alias("a"))
     gram = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("a") - 2, F.lit(1))), lambda i: F.substr("a", i, F.lit(3))))).alias("gram")
     asked = _simple_keywords(spark, d).withColumn("kw", F.explode("keywords")).withColumn("gram", F.substring("kw", 1, 3)).select("q_id", "kw", "gram")
     hit = low.select("doc_id", "a", gram).join(asked, "gram").filter(F.contains("a", "kw"))
@@ -295,25 +341,29 @@ def abstract_keyword_hit(spark, d):
 
 # --- retrieval ----------------------------------------------------------------
 
-#: Terms of the benchmark questions for the SQL side: their first three content words.
-_TERM = (
-    f"SELECT q_id, (row_number() OVER (PARTITION BY q_id ORDER BY i) - 1)::INT AS term_pos, w AS term FROM (SELECT q_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i "
-    f"FROM (SELECT q_id, regexp_extract_all(lower(question), '[a-z0-9]+') AS ws FROM ({_BENCH}))) WHERE length(w) > 3 QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY i) <= 3"
-)
-_SEARCH = f"""WITH t AS ({_TERM}), p AS (SELECT *, {_norm('title')} AS name FROM ({_PAGE})),
-h AS (SELECT q_id, term_pos, article_id, title, url, (CASE WHEN name = term THEN 1000 ELSE 0 END + CASE WHEN starts_with(name, term) THEN 100 ELSE 0 END + 10)::INT AS search_score
-  FROM t JOIN (SELECT *, unnest(list_distinct(string_split(name, ' '))) AS token FROM p) ON token = term),
-s AS (SELECT *, row_number() OVER (PARTITION BY q_id, term_pos ORDER BY search_score DESC, length(title), article_id)::INT AS "rank" FROM h QUALIFY "rank" <= 4)"""
+#: Literal titles stand among the pages, with numbers of their own: media titles, list pages and topics of the literal questions.
+_ARTICLES = f"SELECT article_id, title, url, {_norm('title')} AS name FROM ({_PAGE} UNION ALL SELECT title_id + {LITERAL}, title, 'lit' FROM {X.sql(X.TITLES, 'title_id, title')})"
+_WORD = "[a-z0-9]+"
+_SEARCH = f"""{_UNDERSTOOD}, p AS ({_ARTICLES}),
+t AS (SELECT q_id, depth, unnest(terms) AS term, generate_subscripts(terms, 1)::INT - 1 AS term_pos FROM u),
+tok AS (SELECT article_id, unnest(list_distinct(regexp_extract_all(name, '{_WORD}'))) AS token FROM p),
+ask AS (SELECT q_id, term_pos, unnest(list_distinct(regexp_extract_all(lower(term), '{_WORD}'))) AS token FROM t),
+h AS (SELECT q_id, term_pos, article_id, count(*) AS words FROM ask JOIN tok USING (token) GROUP BY q_id, term_pos, article_id),
+x AS (SELECT h.q_id, h.term_pos, h.article_id, title, url, depth,
+  (CASE WHEN name = {_norm("term")} THEN 1000 ELSE 0 END + CASE WHEN starts_with(name, {_norm("term")}) THEN 100 ELSE 0 END + 10 * words)::INT AS search_score
+  FROM h JOIN t ON t.q_id = h.q_id AND t.term_pos = h.term_pos JOIN p ON p.article_id = h.article_id),
+s AS (SELECT *, row_number() OVER (PARTITION BY q_id, term_pos ORDER BY search_score DESC, length(title), article_id)::INT AS "rank" FROM x QUALIFY "rank" <= depth)"""
 _FIRST = _SEARCH + """, f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY q_id, lower(title) ORDER BY term_pos, "rank") = 1)"""
 
 
-def _term_rows(spark, d):
-    words = F.filter(T.norm_tokens(F.col("question")), lambda w: F.length(w) > 3)
-    return _bench(spark, d).select("q_id", F.lit(4).alias("depth"), F.posexplode(F.slice(words, 1, 3)).alias("term_pos", "term"))
+def _articles(spark, d):
+    literal = _titles(spark).select((F.col("title_id") + LITERAL).cast("long").alias("article_id"), "title", F.lit("lit").alias("url"))
+    return _pages(spark, d).unionByName(literal)
 
 
 def _found(spark, d):
-    return retrieve.search(_term_rows(spark, d), corpus.title_index(_pages(spark, d)), 4)
+    understood = U.understand(_asked(spark, d))
+    return retrieve.search(retrieve.explode_terms(understood), corpus.title_index(_articles(spark, d)))
 
 
 @query(_SEARCH + ' SELECT q_id, term_pos, "rank", article_id, title, url, search_score FROM s')
@@ -363,19 +413,25 @@ def unseen_anti_join(spark, d):
     return _pages(spark, d).join(low, F.lower("title") == F.col("low"), "left_anti").select("article_id")
 
 
-# ordered and ranked candidates share one SQL chain over the simplified terms and keywords
-_MATCH = f"len(kws) = 0 OR len(list_filter(kws, lambda w: contains({_norm('title')}, w))) >= CASE WHEN len(kws) >= 3 THEN 2 ELSE 1 END"
-_ORDER = _FIRST + f""", k AS ({_KW}), d AS (SELECT q_id, {_depth_sql('question')} AS depth FROM ({_BENCH})),
-m AS (SELECT f.*, kws, depth, ({_MATCH}) AS kw, row_number() OVER (PARTITION BY f.q_id ORDER BY term_pos, "rank") AS p0 FROM f JOIN k USING (q_id) JOIN d USING (q_id)),
-o AS (SELECT *, (row_number() OVER (PARTITION BY q_id ORDER BY CASE WHEN len(kws) > 0 AND kw THEN 1 ELSE 0 END DESC, p0) - 1)::INT AS pos FROM m)"""
+# ordered and ranked candidates share one SQL chain; five terms of at most six articles never reach the soft cap of a hundred
+_HITS = f"len(list_filter(keywords, lambda k: {_norm('k')} <> '' AND contains({_norm('title')}, {_norm('k')})))"
+_MATCH = f"(len(keywords) = 0 OR {_HITS} >= CASE WHEN len(keywords) >= 3 THEN 2 ELSE 1 END)"
+_PHRASE = f"(len(list_filter(phrases, lambda k: {_norm('k')} <> '' AND regexp_matches({_norm('title')}, '(^| )' || replace({_norm('k')}, ' ', '( .*)? ') || '( |$)'))) > 0)"
+_ORDER = _FIRST + f""", sx(suffix, suffix_pos) AS (VALUES (' (TV series)', 0), (' (film)', 1), (' (TV show)', 2), (' (television)', 3)),
+media AS (SELECT t.q_id, term_pos, article_id, title, url FROM t CROSS JOIN sx JOIN p ON p.title = t.term || suffix WHERE term_pos < 3
+  AND NOT EXISTS (SELECT 1 FROM f WHERE f.q_id = t.q_id AND lower(f.title) = lower(p.title)) QUALIFY row_number() OVER (PARTITION BY t.q_id, term_pos ORDER BY suffix_pos, article_id) = 1),
+direct AS (SELECT t.q_id, term_pos, article_id, title, url FROM t JOIN p ON p.title = t.term WHERE term_pos < 3
+  AND NOT EXISTS (SELECT 1 FROM f WHERE f.q_id = t.q_id AND lower(f.title) = lower(p.title)) AND NOT EXISTS (SELECT 1 FROM media m WHERE m.q_id = t.q_id AND lower(m.title) = lower(p.title))),
+sides AS (SELECT q_id, 0 AS side, -term_pos AS a, 0 AS b, article_id, title, url FROM direct UNION ALL SELECT q_id, 1, -term_pos, 0, article_id, title, url FROM media
+  UNION ALL SELECT q_id, 2, term_pos, "rank", article_id, title, url FROM f),
+merged AS (SELECT * FROM sides QUALIFY row_number() OVER (PARTITION BY q_id, lower(title) ORDER BY side, a, b, article_id) = 1),
+m AS (SELECT merged.*, keywords, phrases, depth, {_MATCH} AS kw, {_PHRASE} AS ph, row_number() OVER (PARTITION BY merged.q_id ORDER BY side, a, b, article_id) AS p0 FROM merged JOIN u ON u.q_id = merged.q_id),
+o AS (SELECT *, (row_number() OVER (PARTITION BY q_id ORDER BY ph DESC, CASE WHEN len(keywords) > 0 AND kw THEN 1 ELSE 0 END DESC, p0) - 1)::INT AS pos FROM m)"""
 
 
 def _ordered(spark, d):
-    found = retrieve.first_wins(_found(spark, d))
-    pos = (F.row_number().over(Window.partitionBy("q_id").orderBy("term_pos", "rank")) - 1).cast("int")
-    base = found.withColumn("pos", pos).select("q_id", "pos", "article_id", "title", "url")
-    extra = _simple_keywords(spark, d).withColumn("phrases", F.array().cast("array<string>")).join(_bench(spark, d).select("q_id", U.depth(F.col("question")).alias("depth")), "q_id")
-    return retrieve.prioritise(base.join(extra, "q_id"))
+    articles = _articles(spark, d)
+    return retrieve.candidates(corpus.settle(U.understand(_asked(spark, d))), articles, corpus.title_index(articles))
 
 
 @query(_ORDER + " SELECT q_id, pos, article_id FROM o")
@@ -383,20 +439,29 @@ def priority_order(spark, d):
     return _ordered(spark, d).select("q_id", "pos", "article_id")
 
 
-_SCORE = _ORDER + """, sc AS (SELECT o.*, text AS abstract, (CASE WHEN length(coalesce(text, '')) > 200 THEN 20 WHEN length(coalesce(text, '')) > 100 THEN 10 ELSE 0 END
-  + CASE WHEN len(kws) > 0 AND len(list_filter(kws, lambda w: contains(lower(coalesce(text, '')), w))) > 0 THEN 25 ELSE 0 END
-  + CASE WHEN length(title) < 30 THEN 5 ELSE 0 END + CASE WHEN len(kws) > 0 THEN CASE WHEN kw THEN 80 ELSE -60 END ELSE 0 END
+@query(_ORDER + " SELECT q_id, article_id, ph AS phrase_hit, kw AS keyword_hit FROM m")
+def candidate_flags(spark, d):
+    title = F.col("title")
+    return _ordered(spark, d).select("q_id", "article_id", M.matches_phrase(title, F.col("phrases")).alias("phrase_hit"), M.matches_keywords(title, F.col("keywords")).alias("keyword_hit"))
+
+
+_MEDIA = " OR ".join(f"contains(lower(title), '{x}')" for x in (" (tv series)", " (film)", " (tv show)", " (television)"))
+_SCORE = _ORDER + f""", sc AS (SELECT o.*, text AS abstract, (CASE WHEN {_MEDIA} THEN 100 ELSE 0 END
+  + CASE WHEN bool_or(ph) OVER (PARTITION BY q_id) THEN CASE WHEN ph THEN 200 ELSE -90 END ELSE 0 END
+  + CASE WHEN length(coalesce(text, '')) > 200 THEN 20 WHEN length(coalesce(text, '')) > 100 THEN 10 ELSE 0 END
+  + CASE WHEN len(keywords) > 0 AND len(list_filter(keywords, lambda w: contains(lower(coalesce(text, '')), w))) > 0 THEN 25 ELSE 0 END
+  + CASE WHEN length(title) < 30 THEN 5 ELSE 0 END + CASE WHEN len(keywords) > 0 THEN CASE WHEN kw THEN 80 ELSE -60 END ELSE 0 END
   - CASE WHEN lower(title) LIKE 'list of%' OR lower(title) LIKE 'lists of%' THEN 50 ELSE 0 END
   - CASE WHEN contains(lower(title), 'disambiguation') OR contains(lower(title), 'index of') THEN 40 ELSE 0 END)::INT AS score
   FROM o LEFT JOIN (SELECT doc_id, substring(text, 1, 500) AS text FROM documents) ON doc_id = article_id),
 rk AS (SELECT *, count(*) OVER (PARTITION BY q_id) <= depth AS bypass FROM sc),
-rr AS (SELECT * EXCLUDE ("rank"), (CASE WHEN bypass THEN row_number() OVER (PARTITION BY q_id ORDER BY pos) ELSE row_number() OVER (PARTITION BY q_id ORDER BY score DESC, pos) END)::INT AS "rank" FROM rk)"""
+rr AS (SELECT *, (CASE WHEN bypass THEN row_number() OVER (PARTITION BY q_id ORDER BY pos) ELSE row_number() OVER (PARTITION BY q_id ORDER BY score DESC, pos) END)::INT AS "rank" FROM rk)"""
 
 
 def _ranked(spark, d):
     """Pages have no plain abstract, so the document of the same number lends its beginning."""
     abstracts = corpus.table(spark, d, "documents").select(F.col("doc_id").alias("article_id"), T.truncate(F.col("text")).alias("abstract"))
-    return rank.rank(rank.score(_ordered(spark, d).join(abstracts, "article_id", "left")))
+    return rank.rank(rank.score(corpus.settle(_ordered(spark, d)).join(abstracts, "article_id", "left")))
 
 
 @query(_SCORE + " SELECT q_id, article_id, score FROM rr")
@@ -436,9 +501,10 @@ def parse_selection(spark, d):
 
 @query(
     _SCORE + """, g AS (SELECT *, NOT (lower(title) LIKE 'list of%' OR lower(title) LIKE 'lists of%' OR regexp_matches(title, '\\b(19|20)\\d{2}\\b') OR contains(lower(title), 'disambiguation')) AS clean FROM rr),
-a AS (SELECT *, CASE WHEN len(kws) = 0 THEN clean WHEN bool_or(clean AND kw) OVER w THEN clean AND kw WHEN bool_or(kw) OVER w THEN kw ELSE clean END AS a FROM g WINDOW w AS (PARTITION BY q_id)),
-b AS (SELECT *, bool_or(a) OVER (PARTITION BY q_id) AS any_left FROM a),
-c AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY "rank")::INT AS pick FROM b WHERE bypass OR a OR NOT any_left)
+a AS (SELECT *, CASE WHEN len(keywords) = 0 THEN clean WHEN bool_or(clean AND kw) OVER own THEN clean AND kw WHEN bool_or(kw) OVER own THEN kw ELSE clean END AS a1 FROM g WINDOW own AS (PARTITION BY q_id)),
+a2 AS (SELECT *, CASE WHEN len(phrases) > 0 AND bool_or(a1 AND ph) OVER (PARTITION BY q_id) THEN a1 AND ph ELSE a1 END AS a3 FROM a),
+a4 AS (SELECT *, bool_or(a3) OVER (PARTITION BY q_id) AS any_left FROM a2),
+c AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY "rank")::INT AS pick FROM a4 WHERE bypass OR a3 OR NOT any_left)
 SELECT q_id, article_id, "rank", pick FROM c WHERE bypass OR pick <= depth"""
 )
 def fallback_select(spark, d):

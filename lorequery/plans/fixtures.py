@@ -74,6 +74,19 @@ TITLES = [
     (12, "NASA"),
     (13, "Albert Einstein House"),
     (14, "Room 12034"),
+    (15, "Albert Einstein"),
+    (16, "Expanse (film)"),
+    (17, "Expanse (TV show)"),
+    (18, "The World at War (television)"),
+    (19, "World War"),
+    (20, "History of the World War era"),
+    (21, "List of World War films"),
+    (22, "Climate change and ocean ecosystems"),
+    (23, "Mitochondria"),
+    (24, "Chloroplasts (disambiguation)"),
+    (25, "Einstein, Albert in 1921"),
+    (26, "Earthquakes: how to predict them"),
+    (27, "Show business"),
 ]
 ANSWERS = [
     (1, "3, 1, 3 and 99"),
