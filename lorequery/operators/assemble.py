@@ -35,6 +35,13 @@ def selection_prompt(question: Column, keywords: Column, phrases: Column, lines:
     )
 
 
+def selection_prompts(shown: DataFrame, understood: DataFrame) -> DataFrame:
+    """(q_id, prompt): what a model is asked to choose from, out of a shortlist and (q_id, question, keywords, phrases, depth)."""
+    numbered = F.transform(F.array_sort(F.collect_list(F.struct("display_no", "line"))), lambda x: F.concat(x["display_no"].cast("string"), F.lit(". "), x["line"]))
+    listed = shown.groupBy("q_id").agg(F.array_join(numbered, "\n").alias("lines")).join(understood, "q_id")
+    return listed.select("q_id", selection_prompt(F.col("question"), F.col("keywords"), F.col("phrases"), F.col("lines"), F.col("depth")).alias("prompt"))
+
+
 def answer_prompt(question: Column, context: Column, source_list: Column) -> Column:
     return F.concat(
         F.lit("Answer from the articles below. Begin with a direct verdict, cite [n] after each fact, and add no list of references.\nQuestion: "),
@@ -79,3 +86,8 @@ def console_lines(answer: Column, drop_sources: bool = False) -> Column:
     if drop_sources:
         lines = F.filter(lines, lambda x: ~F.startswith(F.lower(F.trim(x)), F.lit("sources:")))
     return F.array_join(F.transform(lines, lambda x: F.concat(F.lit("   "), x)), "\n")
+
+
+def console_sources(sources: Column) -> Column:
+    """The sources of an answer as numbered lines, one each."""
+    return F.array_join(F.transform(sources, lambda x, i: F.concat(F.lit("   ["), (i + 1).cast("string"), F.lit("] "), x["title"], F.lit(" - "), x["url"])), "\n")

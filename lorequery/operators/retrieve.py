@@ -18,18 +18,22 @@ def explode_terms(understood: DataFrame) -> DataFrame:
     return understood.select("q_id", "depth", F.posexplode("terms").alias("term_pos", "term"))
 
 
-def search(terms: DataFrame, index: DataFrame, limit=None) -> DataFrame:
-    """(q_id, term_pos, rank, article_id, title, url): the best articles of each term.
+def search(terms: DataFrame, index: DataFrame, limit=None, bodies: DataFrame | None = None) -> DataFrame:
+    """(q_id, term_pos, rank, article_id, title, url, search_score): the best articles of each term.
 
-    terms and titles meet on words, never pair by pair. Score: the whole title 1000, its
-    beginning 100, each different word 10; ties by title length, then id. limit: a
-    number or column, by default the question's depth.
+    terms and articles meet on words, never pair by pair. Score: the whole title 1000, its
+    beginning 100, each different word in the title 10, and with bodies, (token,
+    article_id, title, url) of the articles' texts, each different word in the text 1;
+    ties by title length, then id. limit: a number or column, by default the question's depth.
     """
     limit = F.col("depth") if limit is None else F.lit(limit) if isinstance(limit, int) else limit
     asked = terms.select("q_id", "term_pos", "term", "depth", F.explode(F.array_distinct(T.norm_tokens(F.col("term")))).alias("token"))
-    hit = asked.join(index, "token").groupBy("q_id", "term_pos", "term", "depth", "article_id", "title", "url").agg(F.count("*").alias("words"))
+    both = index.withColumn("points", F.lit(10))
+    if bodies is not None:
+        both = both.unionByName(bodies.withColumn("points", F.lit(1)))
+    hit = asked.join(both, "token").groupBy("q_id", "term_pos", "term", "depth", "article_id", "title", "url").agg(F.sum("points").alias("points"))
     name, term = T.normalize(F.col("title")), T.normalize(F.col("term"))
-    score = F.when(name == term, 1000).otherwise(0) + F.when(F.startswith(name, term), 100).otherwise(0) + 10 * F.col("words")
+    score = F.when(name == term, 1000).otherwise(0) + F.when(F.startswith(name, term), 100).otherwise(0) + F.col("points")
     order = Window.partitionBy("q_id", "term_pos").orderBy(F.desc("search_score"), F.length("title"), "article_id")
     ranked = hit.withColumn("search_score", score.cast("int")).withColumn("rank", F.row_number().over(order))
     return ranked.filter(F.col("rank") <= limit).select("q_id", "term_pos", "rank", "article_id", "title", "url", "search_score")
@@ -101,13 +105,13 @@ def with_abstracts(candidates: DataFrame, abstracts: DataFrame, first: int = ABS
     return joined.withColumn("abstract", F.when(F.col("pos") < first, F.coalesce("abstract", F.lit("")))).select(*candidates.columns, "abstract")
 
 
-def candidates(understood: DataFrame, articles: DataFrame, index: DataFrame) -> DataFrame:
+def candidates(understood: DataFrame, articles: DataFrame, index: DataFrame, bodies: DataFrame | None = None) -> DataFrame:
     """(q_id, pos, article_id, title, url, keywords, phrases, depth): all retrieval steps in order.
 
     What several steps read, a few rows a question, is settled, so that it is searched once.
     """
     terms = explode_terms(understood)
-    found = settle(soft_cap(first_wins(search(terms, index))))
+    found = settle(soft_cap(first_wins(search(terms, index, bodies=bodies))))
     media = settle(media_lookup(terms, articles, found))
     direct = direct_lookup(terms, articles, found.select("q_id", "title").unionByName(media.select("q_id", "title")))
     listed = merge(found, media, direct)

@@ -11,30 +11,41 @@ from lorequery.operators import assemble, content, html, models, rank, retrieve
 from lorequery.sources import corpus
 
 
-def ranked(understood: DataFrame, pages: DataFrame) -> DataFrame:
-    """(q_id, ..., rank): scored candidates of all questions. Html joins only for the articles that need an abstract."""
+def page_bodies(pages: DataFrame) -> DataFrame:
+    """The words of the pages' paragraphs, as corpus.body_index gives them; for many calls of ask, write it and read it back."""
+    texts = html.explode_paragraphs(pages).select("article_id", F.col("paragraph").alias("text"))
+    return corpus.body_index(texts, corpus.page_articles(pages)).distinct()
+
+
+def ranked(understood: DataFrame, pages: DataFrame, bodies: DataFrame | None = None) -> DataFrame:
+    """(q_id, ..., rank): scored candidates of all questions. Html joins only for the articles that need an abstract.
+
+    Articles without either of the content containers have their abstract out of the
+    body, an extension: there the reference's definition has none.
+    """
     articles = corpus.page_articles(pages)
-    found = corpus.settle(retrieve.candidates(understood, articles, corpus.title_index(articles)))
+    found = corpus.settle(retrieve.candidates(understood, articles, corpus.title_index(articles), bodies))
     early = found.filter(F.col("pos") < retrieve.ABSTRACTS).select(F.col("article_id").alias("page_id")).distinct()
     abstracts = content.abstracts(html.explode_paragraphs(pages.join(early, "page_id", "left_semi")))
     return rank.rank(rank.score(retrieve.with_abstracts(found, abstracts)))
 
 
-def ask(questions: DataFrame, pages: DataFrame, backend=None, model: str = "none") -> DataFrame:
+def ask(questions: DataFrame, pages: DataFrame, backend=None, model: str = "none", max_results: int | None = None, bodies: DataFrame | None = None) -> DataFrame:
     """(q_id, question, answer, sources, model): one row for each question that is not null.
 
     Without a backend, articles are selected by rule and answers are extractive.
+    max_results: articles of each search and of each answer, by default the question's
+    depth; bodies: words of the articles' texts (page_bodies), else titles are searched.
     """
-    understood = corpus.settle(understand(questions))
-    found = corpus.settle(ranked(understood, pages))
+    understood = understand(questions)
+    if max_results is not None:
+        understood = understood.withColumn("depth", F.lit(int(max_results)))
+    understood = corpus.settle(understood)
+    found = corpus.settle(ranked(understood, pages, bodies))
     picked = rank.fallback_select(found)
     if backend is not None:
         shown = rank.shortlist(found.filter(~F.col("bypass")))
-        lines = F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("display_no", "line"))), lambda x: F.concat(x["display_no"].cast("string"), F.lit(". "), x["line"])), "\n"
-        )
-        listed = shown.groupBy("q_id").agg(lines.alias("lines")).join(understood, "q_id")
-        prompts = listed.select("q_id", assemble.selection_prompt(F.col("question"), F.col("keywords"), F.col("phrases"), F.col("lines"), F.col("depth")).alias("prompt"))
+        prompts = assemble.selection_prompts(shown, understood)
         said = models.chat(prompts, backend, SELECTION_OPTIONS).join(understood.select("q_id", "depth"), "q_id")
         chosen = rank.parse_selection(said, shown.select("q_id", "display_no", "rank"), F.col("depth"))
         by_model = found.join(chosen, ["q_id", "rank"]).select(*found.columns, "pick")

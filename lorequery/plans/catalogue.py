@@ -121,6 +121,12 @@ def strip_citations_ws(spark, d):
     return X.frame(spark, X.CITED, "id int, t string").select("id", T.collapse_space(T.strip_citations(F.col("t"))).alias("text"))
 
 
+@query("SELECT doc_id, md5(regexp_replace(regexp_replace(text, '\\[\\d+\\]', '', 'g'), '[\\s\\x{85}\\p{Z}\\x0B\\x1C-\\x1F]+', ' ', 'g')) AS digest FROM documents")
+def strip_citations_documents(spark, d):
+    text = T.collapse_space(T.strip_citations(F.col("text")))
+    return corpus.table(spark, d, "documents").select("doc_id", F.md5(text).alias("digest"))
+
+
 @query(
     "SELECT q_id, regexp_replace(regexp_replace(answer, '(?is)\\n\\s*\\[?(References?|Sources?|Bibliography)\\]?[:\\-]?\\s*(\\n.*)?$', ''), '\\s+$', '') AS answer "
     f"FROM {X.sql(X.ANSWERS, 'q_id, answer')}"
@@ -143,6 +149,15 @@ def title_kinds(spark, d):
     )
 
 
+@query(
+    "SELECT article_id, regexp_matches(title, '\\b(19|20)\\d{2}\\b') AS has_year, lower(title) LIKE 'list of%' OR lower(title) LIKE 'lists of%' AS is_list, "
+    f"replace(title, ' ', '_') AS slug, regexp_replace(title, '[^a-zA-Z]', '_', 'g') AS file_name FROM ({_PAGE})"
+)
+def page_title_kinds(spark, d):
+    t = F.col("title")
+    return _pages(spark, d).select("article_id", T.has_year(t).alias("has_year"), T.is_list_page(t).alias("is_list"), T.slug(t).alias("slug"), T.file_name(t).alias("file_name"))
+
+
 @query("SELECT doc_id, substring(text, 1, 500) AS head, CASE WHEN length(text) > 200 THEN substring(text, 1, 200) || '...' ELSE text END AS preview FROM documents")
 def truncate_preview(spark, d):
     return corpus.table(spark, d, "documents").select("doc_id", T.truncate(F.col("text")).alias("head"), T.preview(F.col("text")).alias("preview"))
@@ -371,6 +386,27 @@ def search_topk_per_term(spark, d):
     return _found(spark, d)
 
 
+_BODY = _SEARCH[: _SEARCH.index(", p AS (")] + f""", p AS (SELECT article_id, title, '' AS url, {_norm('title')} AS name FROM ({_PLAIN})),
+t AS (SELECT q_id, depth, unnest(terms) AS term, generate_subscripts(terms, 1)::INT - 1 AS term_pos FROM u),
+tok AS (SELECT article_id, 10 AS points, unnest(list_distinct(regexp_extract_all(name, '{_WORD}'))) AS token FROM p
+  UNION ALL SELECT doc_id, 1, unnest(list_distinct(regexp_extract_all(lower(text), '{_WORD}'))) FROM documents),
+ask AS (SELECT q_id, term_pos, unnest(list_distinct(regexp_extract_all(lower(term), '{_WORD}'))) AS token FROM t),
+h AS (SELECT q_id, term_pos, article_id, sum(points) AS points FROM ask JOIN tok USING (token) GROUP BY q_id, term_pos, article_id),
+x AS (SELECT h.q_id, h.term_pos, h.article_id, title, depth,
+  (CASE WHEN name = {_norm("term")} THEN 1000 ELSE 0 END + CASE WHEN starts_with(name, {_norm("term")}) THEN 100 ELSE 0 END + points)::INT AS search_score
+  FROM h JOIN t ON t.q_id = h.q_id AND t.term_pos = h.term_pos JOIN p ON p.article_id = h.article_id)
+SELECT q_id, term_pos, row_number() OVER (PARTITION BY q_id, term_pos ORDER BY search_score DESC, length(title), article_id)::INT AS "rank", article_id, search_score FROM x QUALIFY "rank" <= depth"""
+
+
+@query(_BODY)
+def search_with_bodies(spark, d):
+    documents = corpus.table(spark, d, "documents")
+    articles = corpus.plain_articles(documents).withColumn("url", F.lit(""))
+    bodies = corpus.body_index(documents.select(F.col("doc_id").alias("article_id"), "text"), articles)
+    terms = corpus.settle(retrieve.explode_terms(U.understand(_asked(spark, d))))
+    return retrieve.search(terms, corpus.title_index(articles), bodies=bodies).select("q_id", "term_pos", "rank", "article_id", "search_score")
+
+
 @query(_FIRST + ' SELECT q_id, term_pos, "rank", article_id FROM f')
 def dedup_first_wins(spark, d):
     return retrieve.first_wins(_found(spark, d)).select("q_id", "term_pos", "rank", "article_id")
@@ -560,7 +596,7 @@ def html_abstract(spark, d):
 
 @query()
 def html_content(spark, d):
-    return content.contents(content.budget(html.explode_paragraphs(corpus.table(spark, d, "pages"), autoclose=True), 15))
+    return content.contents(content.budget(html.explode_paragraphs(corpus.table(spark, d, "pages")), 15))
 
 
 # --- assembly -----------------------------------------------------------------
@@ -587,6 +623,36 @@ def build_context(spark, d):
     return assemble.contexts(_sources(spark, d))
 
 
+_LISTED = _SQL["shortlist_numbering"].replace("SELECT q_id, row_number()", ", sl AS (SELECT q_id, row_number()").replace("\n, sl", ", sl") + ")"
+
+
+@query(
+    _LISTED + """, li AS (SELECT q_id, string_agg(display_no || '. ' || line, chr(10) ORDER BY display_no) AS lines FROM sl GROUP BY q_id)
+SELECT li.q_id, 'Choose up to ' || depth || ' articles that answer the question.' || chr(10) || 'Question: ' || question
+  || CASE WHEN len(keywords) > 0 THEN chr(10) || 'Keywords: ' || array_to_string(keywords[1:4], ', ') ELSE '' END
+  || CASE WHEN len(phrases) > 0 THEN chr(10) || 'Topic: ' || array_to_string(phrases[1:2], '; ') ELSE '' END
+  || chr(10) || 'Articles:' || chr(10) || lines || chr(10) || 'Reply with their numbers only, separated by commas.' AS prompt FROM li JOIN u ON u.q_id = li.q_id"""
+)
+def build_prompt(spark, d):
+    return assemble.selection_prompts(rank.shortlist(_ranked(spark, d)), U.understand(_asked(spark, d)))
+
+
+@query(
+    _CITED + """, cx AS (SELECT q_id, string_agg('[Article ' || cite_no || '] **' || title || '**:' || chr(10) || content, chr(10) || chr(10) ORDER BY cite_no) AS context,
+  string_agg('[' || cite_no || '] ' || title, chr(10) ORDER BY cite_no) AS source_list FROM nu GROUP BY q_id)
+SELECT cx.q_id, md5('Answer from the articles below. Begin with a direct verdict, cite [n] after each fact, and add no list of references.' || chr(10) || 'Question: ' || question
+  || chr(10) || chr(10) || context || chr(10) || chr(10) || 'Articles:' || chr(10) || source_list) AS digest FROM cx JOIN u ON u.q_id = cx.q_id"""
+)
+def build_answer_prompt(spark, d):
+    context = assemble.contexts(_sources(spark, d)).join(_asked(spark, d), "q_id")
+    return context.select("q_id", F.md5(assemble.answer_prompt(F.col("question"), F.col("context"), F.col("source_list"))).alias("digest"))
+
+
+@query(_CITED + " SELECT q_id, string_agg(split_part(content, '.', 1) || '. [' || cite_no || ']', ' ' ORDER BY cite_no) AS answer FROM nu GROUP BY q_id")
+def answer_extractive(spark, d):
+    return assemble.extractive_answer(_sources(spark, d))
+
+
 @query(
     f"SELECT q_id, CASE WHEN len(xs) > 0 THEN 'No article content was found. Try spelling out: ' || array_to_string(list_transform(xs[1:3], lambda x: '''' || x || ''''), ', ') "
     "ELSE 'No article content was found. Try other words.' END AS message FROM (SELECT q_id, list_filter(regexp_split_to_array(translate(question, '?,.', ''), '\\s+'), "
@@ -654,4 +720,5 @@ def lexicon_invariants(spark, d):
 
 @query()
 def ask_end_to_end(spark, d):
-    return A.ask(_bench(spark, d), corpus.table(spark, d, "pages"))
+    pages = corpus.table(spark, d, "pages")
+    return A.ask(_bench(spark, d), pages, bodies=A.page_bodies(pages))

@@ -69,6 +69,12 @@ def title_index(articles: DataFrame) -> DataFrame:
     return articles.select(F.explode(F.array_distinct(T.norm_tokens(F.col("title")))).alias("token"), *articles.columns)
 
 
+def body_index(texts: DataFrame, articles: DataFrame) -> DataFrame:
+    """(token, article_id, title, url): one row for each different word of an article's text, out of (article_id, text) and articles."""
+    words = texts.select("article_id", F.explode(F.array_distinct(T.norm_tokens(F.col("text")))).alias("token"))
+    return words.join(articles, "article_id").select("token", *articles.columns)
+
+
 def model_names(listing: str | dict | list) -> list[str]:
     """Model names in server order from either shape of listing, an object or JSON; none if it has neither."""
     data = json.loads(listing) if isinstance(listing, str) else listing
