@@ -59,6 +59,27 @@ def test_top_k_odd_rows(spark):
     got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).orderBy("rank").collect()]
     assert got == [(0, 1, 3, 256 * 256 + 128 * 128), (0, 2, 3, 256 * 256 + 128 * 128), (0, 3, 2, 128 * 256)]
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
+    assert topk.top_k(df, F.lit(False)).count() == 0
+
+
+def test_top_k_over_parts_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(topk, "LEAST_TREE", 40)
+    monkeypatch.setattr(topk, "MOST_TREE", 40)
+    monkeypatch.setattr(topk, "SAMPLE", 60)
+    monkeypatch.setattr(topk, "BLOCK", 7)
+    r = np.random.default_rng(9)
+    v = np.concatenate([r.normal(c, 0.2, (150, 6)) for c in (-4, 0, 3)] + [np.repeat(r.normal(0, 1, (1, 6)), 220, axis=0)])  # three clouds, one common vector
+    ids = r.permutation(len(v) * 3)[: len(v)]
+    rows = [(int(i), [float(x) for x in x_]) for i, x_ in zip(ids, v)]
+    got = {}
+    for x in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(x.query_id, []).append((x.rank, x.vec_id, x.score))
+    whole = np.floor(v * 256).astype(np.int64)
+    for i, q in zip(ids, whole):
+        if i % 50 == 0:
+            want = sorted((-int(s), int(j)) for s, j in zip(whole @ q, ids) if j != i)[:5]
+            assert sorted(got.pop(int(i))) == [(n + 1, j, -s) for n, (s, j) in enumerate(want)]
+    assert not got
 
 
 # --- 2 -------------------------------------------------------------------------
