@@ -296,19 +296,32 @@ def _simple_keywords(spark, d):
     return _bench(spark, d).select("q_id", F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(BLACKLIST)).alias("keywords"))
 
 
-def _trigram_pairs(keyed, articles):
-    """(q_id, keywords, article_id, title): pairs that share a keyword inside the title, met on keyword trigrams.
+def _grams(text: str):
+    """Different runs of three characters of a column; none where it is shorter."""
+    spots = F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1)))
+    return F.filter(F.array_distinct(F.transform(spots, lambda i: F.substr(text, i, F.lit(3)))), lambda g: F.length(g) == 3)
+
+
+def _holding(keyed, texts, id_col: str, text_col: str):
+    """(q_id, id): pairs of which some keyword's rarest run of three characters is in the text.
 
-    Titles and keywords join on the first three characters of a keyword; every
-    substring match has them in its title. Keywords of the queries here have three
-    characters or more.
+    Whatever holds a keyword holds its rarest run, so no pair is lost, and keywords with
+    a run that no text has meet none. Keywords of the queries here have three characters
+    or more; texts meet them on runs, never pair by pair, and stay out of that join.
     """
-    grams = articles.withColumn("name", T.normalize(F.col("title"))).filter(F.length("name") >= 3)
-    spots = F.sequence(F.lit(1), F.length("name") - 2)
-    grams = grams.withColumn("gram", F.explode(F.array_distinct(F.transform(spots, lambda i: F.substr("name", i, F.lit(3))))))
-    asked = keyed.withColumn("kw", F.explode("keywords")).withColumn("gram", F.substring("kw", 1, 3))
-    hit = asked.join(grams, "gram").filter(F.contains("name", "kw"))
-    return hit.groupBy("q_id", "article_id").agg(F.countDistinct("kw").cast("int").alias("hits"), F.first("keywords").alias("keywords"))
+    words = keyed.select(F.explode("keywords").alias("kw")).distinct().withColumn("gram", F.explode(_grams("kw")))
+    spread = texts.select(id_col, F.explode(_grams(text_col)).alias("gram"))
+    counts = spread.join(words.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = words.join(counts, "gram", "left").groupBy("kw").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("gram"))
+    asked = keyed.select("q_id", F.explode("keywords").alias("kw")).join(corpus.settle(rarest), "kw").select("q_id", "gram").distinct()
+    return spread.join(asked, "gram").select("q_id", id_col).distinct()
+
+
+def _trigram_pairs(keyed, articles):
+    """(q_id, keywords, article_id, hits): pairs with a keyword inside the title."""
+    named = articles.withColumn("name", T.normalize(F.col("title")))
+    pairs = _holding(keyed, named, "article_id", "name").join(articles.select("article_id", "title"), "article_id").join(keyed, "q_id")
+    return pairs.select("q_id", "keywords", "article_id", "title", M.keyword_hits(F.col("title"), F.col("keywords")).cast("int").alias("hits")).filter("hits > 0")
 
 
 @query(
@@ -326,7 +339,7 @@ def keyword_hits(spark, d):
 )
 def keyword_match(spark, d):
     pairs = _trigram_pairs(_simple_keywords(spark, d), _plain(spark, d))
-    return pairs.filter(F.col("hits") >= F.when(F.size("keywords") >= 3, 2).otherwise(1)).groupBy("q_id").agg(F.count("*").alias("n_matches"))
+    return pairs.filter(M.matches_keywords(F.col("title"), F.col("keywords"))).groupBy("q_id").agg(F.count("*").alias("n_matches"))
 
 
 @query(
@@ -347,11 +360,10 @@ def phrase_subsequence(spark, d):
     "SELECT q_id, count(*) AS n_hits FROM k CROSS JOIN a WHERE len(list_filter(kws, lambda w: contains(a, w))) > 0 GROUP BY q_id"
 )
 def abstract_keyword_hit(spark, d):
-    low = corpus.table(spark, d, "documents").select("doc_id", F.lower(T.truncate(F.col("text"))).alias("a"))
-    gram = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("a") - 2, F.lit(1))), lambda i: F.substr("a", i, F.lit(3))))).alias("gram")
-    asked = _simple_keywords(spark, d).withColumn("kw", F.explode("keywords")).withColumn("gram", F.substring("kw", 1, 3)).select("q_id", "kw", "gram")
-    hit = low.select("doc_id", "a", gram).join(asked, "gram").filter(F.contains("a", "kw"))
-    return hit.select("q_id", "doc_id").distinct().groupBy("q_id").agg(F.count("*").alias("n_hits"))
+    low = corpus.table(spark, d, "documents").select("doc_id", T.truncate(F.col("text")).alias("abstract"), F.lower(T.truncate(F.col("text"))).alias("a"))
+    keyed = _simple_keywords(spark, d)
+    pairs = _holding(keyed, low, "doc_id", "a").join(low.select("doc_id", "abstract"), "doc_id").join(keyed, "q_id")
+    return pairs.filter(M.abstract_hit(F.col("abstract"), F.col("keywords"))).groupBy("q_id").agg(F.count("*").alias("n_hits"))
 
 
 # --- retrieval ----------------------------------------------------------------
