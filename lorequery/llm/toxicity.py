@@ -36,6 +36,8 @@ THRESHOLD = 0.7
 #: Telling strings stand in so many times as large a share of toxic documents as of clean ones; so many are taken, above the
 #: least log-likelihood, where labels are too few for any to be beyond chance.
 TELLING, BEST, CHANCE = 4.0, 20, 4.0
+#: Beyond chance: so much times the logarithm of the number of strings tried.
+SURE = 0.55
 #: Weight of all negative strings together, over that of all positive ones.
 OVERWEIGHT = 8.0
 
@@ -249,7 +251,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 0) -> Machine:
         if not y[i]:
             with_good.update({h for s in bags[i] for h in _heads(s) if h in with_bad})
     share = sum(y[i] for i in own) / len(own)
-    sure = np.log(max(2, len(with_bad))) + 1  # so many heads are tried that chance alone gives some of them nearly this
+    sure = SURE * np.log(max(2, len(with_bad)))  # so many heads are tried that chance alone gives some of them much
 
     def tells(h):
         """How far a head's share of toxic documents is beyond chance, as a log-likelihood; 0 where it is not."""
