@@ -294,7 +294,7 @@ def encode_documents(docs, path: str, id_col: str = "doc_id", text_col: str = "t
 
 
 def digest(docs, path: str, id_col: str = "doc_id", text_col: str = "text"):
-    """(id, n_tokens, ids_sha256, decoded_sha256) of encode_documents()'s ids and texts."""
+    """(id, n_tokens, ids_sha256, decoded_sha256) of encode_documents()'s ids and texts: null texts as empty ones, one row a row."""
     from pyspark.sql import functions as F
 
     from lorequery.llm.common import map_text

@@ -1,4 +1,11 @@
-"""The queries of the corpus operators, with production parameters, over whole tables."""
+"""The queries of the corpus operators, with production parameters, over whole tables.
+
+Each takes a whole table through its operator and returns what that gives, so null and
+empty texts, repeated rows, empty tables and extra columns are as the operator's own
+docstring says: topk.top_k, secret_scan.scan, langid.identify, packing.pack_documents,
+simhash.near_duplicates, wrapper_html.extract_pages, license_scan.scan, toxicity.score,
+quality.judge and bpe.digest.
+"""
 
 from __future__ import annotations
 
