@@ -21,7 +21,7 @@ def ranked(understood: DataFrame, pages: DataFrame, bodies: DataFrame | None = N
     """(q_id, ..., rank): scored candidates of all questions. Html joins only for the articles that need an abstract.
 
     Articles without either of the content containers have their abstract out of the
-    body, an extension: there the reference's definition has none.
+    body, an extension: the definition has none there.
     """
     articles = corpus.page_articles(pages)
     found = corpus.settle(retrieve.candidates(understood, articles, corpus.title_index(articles), bodies))
