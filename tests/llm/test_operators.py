@@ -496,6 +496,46 @@ def test_template_counts_all_different_pages(spark):
     assert got[1003].endswith("paragraph 3999")
 
 
+@pytest.mark.parametrize("part,limit", [(8_192, 8 << 20), (7, 8 << 20), (7, 0)])
+def test_wrapper_takes_all_pages(spark, monkeypatch, part, limit):
+    monkeypatch.setattr(wrapper_html, "PART", part, raising=False)
+    monkeypatch.setattr(wrapper_html, "FAN", 3, raising=False)
+    monkeypatch.setattr(wrapper_html, "BROADCAST", limit)
+    lists = lambda n, name: f"<ul class={name}>" + "".join(f"<li><a href=#>more {n} {k}</a></li>" for k in range(3)) + "</ul>"
+    # on each page of many, what few pages or only one have: lists of links are chrome, however rare they are
+    more = {n: lists(n, f"topics{n % 2}" if n < 12 else "".join(chr(97 + int(d)) for d in str(n))) for n in range(0, 60, 3)}
+    page = lambda n: f"<body><div class=story><h1>Title {n}</h1>" + f"<p>words {n}</p>" * (1 + n % 4) + f"</div>{more.get(n, '')}<div class=end><p>after {n}</p></div></body>"
+    rows = [(n, "http://many.example/", page(n)) for n in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = wrapper_html.extract_pages(pages).collect()
+    assert len(got) == 60
+    for x in got:
+        assert x.text == "\n\n".join([f"Title {x.page_id}", *[f"words {x.page_id}"] * (1 + x.page_id % 4), f"after {x.page_id}"])
+    # the wrapper holds what pages share, and does not grow with names that single pages make up
+    different = wrapper_html.evidences(pages)
+    (learned,) = wrapper_html.wrappers(different, wrapper_html.totals(different)).collect()
+    assert '"ul.topics0#"' in learned.wrapper and learned.wrapper.count('"ul') == 1
+
+
+def test_wrappers_of_parts_merge():
+    r = np.random.default_rng(3)
+    for k in range(6):
+        page = _site(r, k)
+        pages = [page(n)[0] for n in range(12)]
+        whole = wrapper_html.Wrapper.of_json(wrapper_html.infer(pages))
+        merged = wrapper_html.Wrapper()
+        for i in range(0, 12, 4):
+            part = wrapper_html.Wrapper()
+            for p in pages[i : i + 4]:  # as pages travel, without their wording
+                bones = wrapper_html.skeleton(wrapper_html.tree(wrapper_html.tokens(p)))
+                part.align(wrapper_html.fleshed(bones, frozenset()))
+            merged.align(wrapper_html.Wrapper.of_json(part.to_json()).root)
+        assert (merged.root.chars, merged.root.links) == (whole.root.chars, whole.root.links)
+        for p in pages:
+            assert all(found[-1] for found in merged.blocks(wrapper_html.tree(wrapper_html.tokens(p))))
+            assert wrapper_html.extract(p, merged, ()) == wrapper_html.extract(p, whole, ())
+
+
 # --- 7 -------------------------------------------------------------------------
 
 
